@@ -95,24 +95,36 @@ def with_order_bucket(df: DataFrame, order_cols: Sequence[str], out: str = "_buc
     return df.withColumn(out, bucket.cast("long")).drop("_k0", "_b0", "_k1", "_b1")
 
 
-def with_row_index(
+def with_running_sums(
     df: DataFrame,
     order_cols: Sequence[str],
-    out: str = "row_id",
+    sums: dict[str, Column],
     group_cols: Sequence[str] = (),
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Contiguous 0-based position in ``order_cols`` order, inside each group if groups are given."""
+    """Add inclusive running sums in ``order_cols`` order, inside each group if groups are given."""
     cut = with_order_bucket(df, order_cols, n_buckets=n_buckets)
     groups = list(group_cols)
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-    ranked = cut.withColumn("_pos", F.row_number().over(inside))
-    starts = bucket_starts(cut, groups, {"_start": F.count(F.lit(1))})
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cut.withColumns({f"_in_{k}": F.sum(e).over(inside) for k, e in sums.items()})
+    starts = bucket_starts(cut, groups, {f"_start_{k}": F.sum(e) for k, e in sums.items()})
     if groups:
         joined = _same_key_join(ranked, starts, [*groups, "_bucket"])
     else:
         joined = ranked.join(F.broadcast(starts), "_bucket")  # one row per bucket
-    return joined.withColumn(out, (F.col("_start") + F.col("_pos") - 1).cast("long")).drop("_bucket", "_pos", "_start")
+    return joined.select(*df.columns, *[(F.col(f"_in_{k}") + F.col(f"_start_{k}")).alias(k) for k in sums])
+
+
+def with_row_index(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    out: str = "row_id",
+    group_cols: Sequence[str] = (),
+    n_buckets: int | None = None,
+) -> DataFrame:
+    """Contiguous 0-based position in ``order_cols`` order, inside each group if groups are given."""
+    counted = with_running_sums(df, order_cols, {out: F.lit(1)}, group_cols, n_buckets)
+    return counted.withColumn(out, (F.col(out) - 1).cast("long"))
 
 
 def bucket_starts(df: DataFrame, groups: Sequence[str], totals: dict[str, Column]) -> DataFrame:
