@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+FAMILY: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, digits: int | None = None, floats: str = ""):
@@ -24,6 +25,7 @@ def query(name: str, sql: str | None = None, digits: int | None = None, floats:
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        FAMILY[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             SQL[name] = rounded_sql(sql, floats.split(), digits) if digits is not None else sql
         return fn

@@ -85,7 +85,7 @@ def main():
     total = time.time()
     tally = {}
     for name in registry.QUERIES:
-        if only and name not in only:
+        if (only and name not in only) or (not only and registry.FAMILY[name] not in families):
             continue
         try:
             status, message, took = compare(spark, con, folder, name, registry.QUERIES, registry.SQL)
