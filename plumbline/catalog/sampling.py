@@ -20,9 +20,11 @@ def _(spark, d):
     return Q.auto_strata(orders(spark, d))
 
 
-@query("adaptive_bins", """SELECT 'o_totalprice' AS col, i::INT AS position, quantile_cont(o_totalprice, i / 49.0) AS edge, NULL::VARCHAR AS value FROM orders, range(50) AS r(i) GROUP BY i
-UNION ALL SELECT DISTINCT 'o_orderstatus', NULL, NULL, o_orderstatus FROM orders""".replace("quantile_cont(o_totalprice, i / 49.0)", "(SELECT NULL)") if False else
-       "SELECT 'o_totalprice' AS col, unnest(range(50))::INT AS position, unnest(quantile_cont(o_totalprice, [" + ", ".join(f"{i / 49!r}" for i in range(50)) + "])) AS edge, NULL::VARCHAR AS value FROM orders\nUNION ALL SELECT DISTINCT 'o_orderstatus', NULL, NULL, o_orderstatus FROM orders", 3, "edge")
+BIN_POINTS = ", ".join(repr(i / 49) for i in range(50))
+
+
+@query("adaptive_bins", f"""SELECT 'o_totalprice' AS col, unnest(range(50))::INT AS position, unnest(quantile_cont(o_totalprice, [{BIN_POINTS}])) AS edge, NULL::VARCHAR AS value FROM orders
+UNION ALL SELECT DISTINCT 'o_orderstatus', NULL, NULL, o_orderstatus FROM orders""", 3, "edge")
 def _(spark, d):
     return Q.adaptive_bins(orders(spark, d), ["o_totalprice", "o_orderstatus"])
 

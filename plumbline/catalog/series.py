@@ -81,7 +81,7 @@ def _(spark, d):
 
 
 @query("batch_spikes", f"""WITH j AS (SELECT event_type, ts, event_id, value, user_id - lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS jump FROM events),
-l AS (SELECT event_type, avg(value) + 3 * stddev_samp(value) AS nl, avg(jump) + 2.0 * 1.5 * stddev_samp(jump) AS jl FROM j GROUP BY 1)
+l AS (SELECT event_type, avg(value) + 3 * stddev_samp(value) AS nl, avg(jump) + 3 * stddev_samp(jump) AS jl FROM j GROUP BY 1)
 SELECT event_type, ts, event_id, value > nl AS norm_spike, coalesce(jump > jl, false) AS loss_spike FROM j JOIN l USING (event_type) WHERE value > nl OR jump > jl""")
 def _(spark, d):
     return S.batch_spikes(events(spark, d), "event_type", ["ts", "event_id"], "value", "user_id")

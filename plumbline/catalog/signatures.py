@@ -26,7 +26,7 @@ def _(spark, d):
     base = st.join(scores, "validation_id", "left").select(
         "validation_id", "dimension_scores", stats.alias("stats"), F.lit(None).cast("double").alias("skewness"), (F.col("n") / 10.0).alias("kurtosis"))
     out = O.signature_vector(base)
-    return out.select("validation_id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0")
+    return out.select("validation_id", F.posexplode_outer("vector").alias("pos", "value")).filter("value <> 0")
 
 
 @query("simple_stats", "SELECT avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min, max(v) AS max FROM (SELECT unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)", 4, "mean std min max")

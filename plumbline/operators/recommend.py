@@ -194,7 +194,8 @@ def select_plan(
         return F.when(fits, taken.cast(state_type)).otherwise(s)
 
     plan = grouped.withColumn("_plan", F.aggregate(ordered, start, step))
-    out = plan.select(KEY, F.posexplode("_plan.rows").alias("_p", "_r"))
+    # the outer form keeps the optimizer from adding filters that would run the fold again
+    out = plan.select(KEY, F.posexplode_outer("_plan.rows").alias("_p", "_r")).filter(F.col("_r").isNotNull())
     return out.select(KEY, (F.col("_p") + 1).alias("position"), *[F.col(f"_r.{c}").alias(c) for c in kinds if c != KEY])
 
 
@@ -229,7 +230,7 @@ def execution_order(plan: DataFrame) -> DataFrame:
         return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(best)))
 
     ordered = F.aggregate(steps, F.array().cast("array<string>"), step)
-    out = grouped.select(KEY, F.posexplode(ordered).alias("_p", "rec_id"))
+    out = grouped.select(KEY, F.posexplode_outer(ordered).alias("_p", "rec_id")).filter(F.col("rec_id").isNotNull())
     return out.select(KEY, (F.col("_p") + 1).cast("int").alias("step"), "rec_id")
 
 

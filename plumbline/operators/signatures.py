@@ -346,7 +346,7 @@ def match_advice(assessed: DataFrame) -> DataFrame:
     failed = F.filter(F.map_entries("dimension_scores"), lambda e: e["value"] < FAILED_BELOW)
     worst = F.slice(F.array_sort(F.transform(failed, lambda e: F.struct(e["value"].alias("s"), e["key"].alias("d")))), 1, 3)
     base = assessed.select("query_id", "signature_id", "collapse_score", "current_scores", worst.alias("_w"))
-    rows = base.select("query_id", "signature_id", "current_scores", F.inline("_w"))
+    rows = base.select("query_id", "signature_id", "current_scores", F.inline_outer("_w")).filter(F.col("d").isNotNull())
     now = F.coalesce(F.try_element_at("current_scores", F.col("d")), F.lit(MISSING_CURRENT))
     dims = rows.select(
         "query_id", "signature_id", F.col("d").alias("dimension"),
