@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.pairs import stack_pair
 from ..session import table
 
 # --- dataset pairs: open against final line status, one validation per return flag -----------------------
@@ -53,11 +52,14 @@ DIMENSION_FACTORS = {
 
 
 def order_scores(spark, d) -> DataFrame:
-    """(validation_id, dimension, score); telemetry dimensions are missing for status P."""
+    """(validation_id, dimension, score); telemetry dimensions are missing for status P.
+
+    Scores are multiples of 1/8, so their means do not depend on the order of addition.
+    """
     o = table(spark, d, "orders")
     whole = F.floor(F.col("o_totalprice")).cast("long")
     rows = F.array(*[
-        F.struct(F.lit(n).alias("dimension"), (((F.col("o_orderkey") * k + whole) % 1001) / 10.0).alias("score"))
+        F.struct(F.lit(n).alias("dimension"), (((F.col("o_orderkey") * k + whole) % 801) / 8.0).alias("score"))
         for n, k in DIMENSION_FACTORS.items()
     ])
     long = o.select(F.col("o_orderkey").alias("validation_id"), "o_orderstatus", F.inline(rows))
@@ -66,7 +68,7 @@ def order_scores(spark, d) -> DataFrame:
 
 
 SCORES_SQL = (
-    "SELECT o_orderkey AS validation_id, dimension, ((o_orderkey * k + floor(o_totalprice)::BIGINT) % 1001) / 10.0 AS score"
+    "SELECT o_orderkey AS validation_id, dimension, ((o_orderkey * k + floor(o_totalprice)::BIGINT) % 801) / 8.0 AS score"
     " FROM orders, (VALUES "
     + ", ".join(f"('{n}', {k})" for n, k in DIMENSION_FACTORS.items())
     + ") f(dimension, k) WHERE NOT (o_orderstatus = 'P' AND dimension IN ('gradient_health', 'loss_landscape'))"

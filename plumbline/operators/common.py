@@ -66,6 +66,12 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL where a side is constant (the built-in raises in ANSI mode)."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def wide_aggregate(df: DataFrame, keys: Sequence[str], exprs: Sequence[Column]) -> DataFrame:
     """One grouped aggregate, or several joined on the keys when it would be too wide."""
     parts = [exprs[i : i + MAX_EXPRESSIONS] for i in range(0, len(exprs), MAX_EXPRESSIONS)]
@@ -77,3 +83,9 @@ def wide_aggregate(df: DataFrame, keys: Sequence[str], exprs: Sequence[Column])
         else:
             out = out.join(agg, list(keys)) if keys else out.crossJoin(agg)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row work on an input with few partitions; a large input is left as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

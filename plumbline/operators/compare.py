@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import anderson_darling_sigma, chi2_tail, normal_two_sided
-from .common import SMALL_ROWS, checked_small, clamp
+from .common import checked_small, clamp
 from .histogram import binned, column_ranges, fill_bins
 from .ordered import ranked_values, with_row_index
 from .pairs import is_orig, is_syn, pair_columns
@@ -51,7 +50,7 @@ def ecdf_summary(merged: DataFrame) -> DataFrame:
     Per (validation, column): KS distance, area between the distribution functions, range of the original,
     Mann-Whitney U of the synthetic side, tie sum, and the midrank Anderson-Darling statistic.
     """
-    fs, fo = F.col("cum_s") / F.col("n_s"), F.col("cum_o") / F.col("n_o")
+    fs, fo = F.try_divide("cum_s", "n_s"), F.try_divide("cum_o", "n_o")  # NULL for an empty side
     gap = F.abs(fs - fo)
     t = (F.col("cs") + F.col("co")).cast("double")
     n = (F.col("n_s") + F.col("n_o")).cast("double")
@@ -64,7 +63,7 @@ def ecdf_summary(merged: DataFrame) -> DataFrame:
     spread = b * (n - b) - n * t / 4.0
 
     def term(m: Column, size: Column) -> Column:
-        return F.when(spread > 0, t / n * (n * m - b * size) ** 2 / spread).otherwise(0.0) / size
+        return F.try_divide(F.when(spread > 0, t / n * (n * m - b * size) ** 2 / spread).otherwise(0.0), size)
 
     out = merged.groupBy(KEY, "col").agg(
         F.first("n_s").alias("n_s"),
@@ -212,7 +211,7 @@ def chi2_statistic(pair: DataFrame, cols: Sequence[str] | None = None, shared: b
     hist = side_histograms(pair, CHI2_BINS, "both" if shared else "own", cols)
     s, o = F.col("cs") + 1.0, F.col("co") + 1.0
     totals = hist.groupBy(KEY, "col").agg(F.sum(s).alias("_s"), F.sum(o).alias("_o"))
-    expected = o * F.col("_s") / F.col("_o")
+    expected = o * F.col("_s") / F.col("_o")  # both totals are at least the number of bins
     return hist.join(totals, [KEY, "col"]).groupBy(KEY, "col").agg(F.sum((s - expected) ** 2 / expected).alias("chi2"))
 
 

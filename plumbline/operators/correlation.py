@@ -9,24 +9,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checked_small, lookup_join, number, numeric_columns, wide_aggregate
+from .common import checked_small, number, numeric_columns, safe_corr, wide_aggregate
+from .materialise import materialise
 from .ordered import ranked_values
 
 # Fixed value: correlation preservation passes at this score.
 CORRELATION_THRESHOLD = 70.0
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = (), max_pairs: int = 1200) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = (), max_pairs: int = 15) -> DataFrame:
     """Upper triangle in long form: keys, col_a, col_b, r. Each pair skips rows where either value is missing.
 
-    Few columns use built-in ``corr`` aggregates; many columns use per-batch matrix products whose partial
-    sums are added by Spark, so the number of scans does not grow with the square of the column count.
+    Few pairs use built-in ``corr`` aggregates inside generated code. More pairs would leave generated code,
+    so they use per-batch matrix products whose partial sums are added by Spark, in one scan.
     """
     cols = numeric_columns(df, cols, exclude=keys)
     pairs = list(combinations(cols, 2))
     if len(pairs) > max_pairs:
         return _block_correlation(df, cols, keys)
-    exprs = [F.corr(number(a), number(b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
+    exprs = [safe_corr(number(a), number(b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
     wide = wide_aggregate(df, keys, exprs)
     rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return wide.select(*keys, F.inline(F.array(*rows)))
@@ -81,9 +82,10 @@ def mid_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Ranks of distinct values are broadcast when their number is checked to be small. Otherwise the values
     shared by many rows are few by construction and are broadcast, and the rest joins without hot keys.
     """
-    ranked = ranked_values(df, cols).select(
+    # read once per column, so it is written once
+    ranked = materialise(ranked_values(df, cols).select(
         "col", "value", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("_rank")
-    )
+    ))
     out = df.select(*[number(c).alias(c) for c in cols])
     for c in cols:
         ranks = ranked.filter(F.col("col") == c).select(F.col("value").alias(c), "n", F.col("_rank").alias(f"_rank_{c}"))
@@ -124,7 +126,6 @@ def correlation_sides(pair: DataFrame, cols: Sequence[str], key: str = "validati
 
 def constant_columns(pair: DataFrame, cols: Sequence[str], key: str = "validation_id") -> DataFrame:
     """Squared diagonal terms: a constant column has no correlation with itself (0 instead of 1)."""
-    live = sum((F.when(F.stddev_pop(number(c)) > 0, 1.0).otherwise(0.0) for c in cols), F.lit(0.0))
     differs = [
         F.when(F.stddev_pop(F.when(F.col("side") == "syn", number(c))) > 0, 1.0).otherwise(0.0)
         - F.when(F.stddev_pop(F.when(F.col("side") == "orig", number(c))) > 0, 1.0).otherwise(0.0)
@@ -149,7 +150,7 @@ def frobenius_similarity(sides: DataFrame, diagonal: DataFrame, key: str = "vali
 def corr_of_corr(sides: DataFrame, key: str = "validation_id") -> DataFrame:
     """Pearson correlation of the two upper triangles, mapped to 0..100; a single pair scores 100."""
     flat = (F.stddev_pop("r_s") < 1e-9) | (F.stddev_pop("r_o") < 1e-9)
-    r = F.corr("r_s", "r_o")
+    r = safe_corr(F.col("r_s"), F.col("r_o"))
     r = F.when(flat | r.isNull() | F.isnan(r), 0.0).otherwise(r)
     score = F.when(F.count(F.lit(1)) <= 1, 100.0).otherwise((r + 1.0) / 2.0 * 100.0)
     return sides.groupBy(key).agg(score.alias("corr_of_corr"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import clamp, lookup_join, melt, number, numeric_columns, wide_aggregate
+from .common import melt, number, spread, wide_aggregate
 from .correlation import correlation_matrix
 from .histogram import binned, column_ranges
 from .materialise import materialise
@@ -127,6 +126,7 @@ def with_density(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], out
             pdf[out] = result
             yield pdf[[*carried, out]]
 
+    df = spread(df)
     carried = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     ready = df.withColumn("_id", F.concat_ws("|", *[F.col(c).cast("string") for c in ids]))

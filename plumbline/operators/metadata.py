@@ -152,7 +152,7 @@ def claim_checks(claims: DataFrame, warranties: DataFrame) -> DataFrame:
 def claim_precheck(claims: DataFrame, predictions: DataFrame) -> DataFrame:
     """Deviation above 20 % and filing within 30 days: both eligible, one review, none denied."""
     joined = claims.join(predictions, "warranty_id")
-    deviates = F.abs(F.col("actual") - F.col("predicted")) / F.col("predicted") > CLAIM_DEVIATION
+    deviates = F.coalesce(F.try_divide(F.abs(F.col("actual") - F.col("predicted")), F.abs("predicted")) > CLAIM_DEVIATION, F.lit(False))
     timely = F.datediff("filed_at", "trained_at") <= CLAIM_DAYS
     verdict = F.when(deviates & timely, "ELIGIBLE").when(deviates | timely, "REQUIRES_REVIEW").otherwise("DENIED")
     return joined.select(F.col("id").alias("claim_id"), verdict.alias("verdict"))

@@ -141,7 +141,7 @@ def sample_info(sample: DataFrame, full: DataFrame, keys: Sequence[str]) -> Data
         F.coalesce(F.sum("_n"), F.lit(0)).alias("sample_size"), F.count(F.lit(1)).alias("strata")
     )
     both = n.crossJoin(F.broadcast(s))  # one row each
-    return both.withColumn("sample_fraction", F.col("sample_size") / F.col("original_size"))
+    return both.withColumn("sample_fraction", F.try_divide("sample_size", "original_size"))
 
 
 def temporal_balance(df: DataFrame, time_col: str, period: str, per_period: int, id_cols: Sequence[str], seed: int = 42) -> DataFrame:

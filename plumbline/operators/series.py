@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import clamp, lookup_join
+from .common import lookup_join, safe_corr
 from .ordered import with_previous, with_row_index
 
 NEUTRAL_LOSS_SCORE = 65.0
@@ -121,7 +121,7 @@ def trend_seasonality(series: DataFrame, key: str, order_cols: Sequence[str], va
     out = indexed.groupBy(key).agg(F.regr_slope(F.col(value).cast("double"), F.col("_i").cast("double")).alias("slope"))
     for k in lags:
         linked = with_previous(indexed.select(key, "_i", value), [key], "_i", value, "_earlier", k)
-        out = out.join(linked.groupBy(key).agg(F.corr(value, "_earlier").alias(f"autocorr_{k}")), key)
+        out = out.join(linked.groupBy(key).agg(safe_corr(F.col(value).cast("double"), F.col("_earlier").cast("double")).alias(f"autocorr_{k}")), key)
     return out
 
 
@@ -133,7 +133,7 @@ def stationarity(series: DataFrame, key: str, order_cols: Sequence[str], value:
     fit = linked.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.regr_slope(y, x).alias("_b"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy")
     )
-    error = F.sqrt((F.col("_syy") - F.col("_b") * F.col("_b") * F.col("_sxx")) / (F.col("_n") - 2) / F.col("_sxx"))
+    error = F.sqrt(F.try_divide(F.col("_syy") - F.col("_b") * F.col("_b") * F.col("_sxx"), (F.col("_n") - 2) * F.col("_sxx")))
     stat = F.when(F.col("_n") > 2, F.try_divide(F.col("_b"), error))
     # 5 % critical value of the Dickey-Fuller law with a constant, large samples
     return fit.select(key, stat.alias("df_stat"), (stat < -2.86).alias("stationary"))

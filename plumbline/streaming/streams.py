@@ -87,7 +87,7 @@ def drift_monitor(events: DataFrame, value: str, edges: tuple[float, float], bas
     agg = source.select("ts", b.alias("_b")).groupBy(F.window("ts", width)).agg(
         F.count("_b").alias("n"), *[F.count_if(F.col("_b") == i).alias(f"_n{i}") for i in range(bins)]
     )
-    gap = sum((F.abs(F.col(f"_n{i}") / F.col("n") - F.lit(float(p))) for i, p in enumerate(baseline)), F.lit(0.0)) / 2.0
+    gap = sum((F.abs(F.try_divide(f"_n{i}", "n") - F.lit(float(p))) for i, p in enumerate(baseline)), F.lit(0.0)) / 2.0
     return agg.select(F.col("window.start").alias("window_start"), "n", gap.alias("distance"), (gap > alert).alias("alert"))
 
 
