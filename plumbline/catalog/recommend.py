@@ -53,7 +53,7 @@ def _(spark, d):
 PRED_SQL = f"""SELECT * REPLACE (impact * 0.7 AS impact_low, impact * 1.3 AS impact_high, ((impact * 1.3 - impact * 0.7) / 4) ** 2 AS variance, 0.8 AS success_probability) FROM ({CAND_SQL})"""
 
 
-@query("predict_impact", f"SELECT validation_id, rec_id, impact_low, impact_high, variance, success_probability::DOUBLE AS success_probability FROM ({PRED_SQL})", 5, "impact_low impact_high variance success_probability")
+@query("predict_impact", f"SELECT validation_id, rec_id, impact_low, impact_high, variance, success_probability::DOUBLE AS success_probability FROM ({PRED_SQL})", 7, "impact_low impact_high variance success_probability")
 def _(spark, d):
     return P.predict_impact(cands(spark, d)).select("validation_id", "rec_id", "impact_low", "impact_high", "variance", "success_probability")
 
@@ -133,7 +133,7 @@ SELECT validation_id, recommendations, expected_impact, success_probability, tot
  greatest(0, expected_impact - 1.96 * sd) AS impact_low, least(100, expected_impact + 1.96 * sd) AS impact_high, least(100, overall_score + expected_impact) AS projected_score FROM t JOIN ({OVER}) USING (validation_id)"""
 
 
-@query("plan_totals", TOTALS, 5, "expected_impact success_probability total_cost_usd total_effort_hours total_duration_days impact_low impact_high projected_score")
+@query("plan_totals", TOTALS, 7, "expected_impact success_probability total_cost_usd total_effort_hours total_duration_days impact_low impact_high projected_score")
 def _(spark, d):
     return P.plan_totals(plan(spark, d), overall(spark, d))
 

@@ -40,7 +40,7 @@ def _(spark, d):
 
 
 @query("scale_predictions", f"""SELECT validation_id, dimension, scale, score * CASE scale WHEN '10x' THEN 0.95 ELSE 0.95 * 0.95 END::DOUBLE AS predicted_score
-FROM ({SCORES_SQL}), (VALUES ('10x'), ('100x')) s(scale)""", 5, "predicted_score")
+FROM ({SCORES_SQL}), (VALUES ('10x'), ('100x')) s(scale)""", 9, "predicted_score")
 def _(spark, d):
     return M.scale_predictions(order_scores(spark, d))
 
@@ -73,7 +73,7 @@ PERF_SQL = f"""SELECT validation_id, 0.85 + overall_score / 100 * 0.1 AS accurac
  least(greatest((100 - overall_score) / 100, 0.0), 1.0) AS collapse_probability FROM ({OVERALL})"""
 
 
-@query("predicted_performance", PERF_SQL, 7, "accuracy accuracy_low accuracy_high collapse_probability")
+@query("predicted_performance", PERF_SQL, 10, "accuracy accuracy_low accuracy_high collapse_probability")
 def _(spark, d):
     return M.predicted_performance(M.overall_score(order_scores(spark, d)))
 
@@ -128,7 +128,7 @@ def actuals(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("validation_id"), (0.85 + (F.col("o_custkey") % 100) / 1000.0).alias("actual"))
 
 
-@query("prediction_error", f"SELECT validation_id, error FROM ({ERR_SQL})", 8, "error")
+@query("prediction_error", f"SELECT validation_id, error FROM ({ERR_SQL})", 10, "error")
 def _(spark, d):
     return M.prediction_error(M.predicted_performance(M.overall_score(order_scores(spark, d))), actuals(spark, d)).drop("inside")
 
