@@ -86,6 +86,11 @@ def wide_aggregate(df: DataFrame, keys: Sequence[str], exprs: Sequence[Column])
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly row work on an input with few partitions; a large input is left as it is."""
+    """Use every core for costly row work on a scan with few partitions (a small file with one row group).
+
+    A scan that already has enough partitions, or an input that was shuffled, is left as it is.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
