@@ -28,11 +28,6 @@ def _files(path: str) -> list[str]:
     return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".arrow", ".feather")))
 
 
-class BatchPartition(InputPartition):
-    def __init__(self, file: str, batch: int):
-        self.file, self.batch = file, batch
-
-
 class ArrowIpcReader(DataSourceReader):
     def __init__(self, path: str, names: list[str]):
         self.path, self.names = path, names
@@ -42,15 +37,16 @@ class ArrowIpcReader(DataSourceReader):
         parts = []
         for file in _files(self.path):
             with system.open_input_file(file) as source:
-                parts += [BatchPartition(file, i) for i in range(pa.ipc.open_file(source).num_record_batches)]
+                parts += [InputPartition((file, i)) for i in range(pa.ipc.open_file(source).num_record_batches)]
         return parts
 
     def read(self, partition):
         if partition is None:  # a folder without batches
             return
+        file, batch = partition.value
         system, _ = _filesystem(self.path)
-        with system.open_input_file(partition.file) as source:
-            yield pa.ipc.open_file(source).get_batch(partition.batch).select(self.names)
+        with system.open_input_file(file) as source:
+            yield pa.ipc.open_file(source).get_batch(batch).select(self.names)
 
 
 class ArrowIpcSource(DataSource):
