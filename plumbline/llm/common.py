@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.operators.materialise import ensure_checkpoint_dir
 
@@ -25,6 +25,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, more: str) -> T.StructType:
+    """``schema`` with the columns of the DDL string ``more`` behind its own."""
+    return T.StructType(schema.fields + T.StructType.fromDDL(more).fields)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over all 64."""
     x = x ^ (x >> np.uint64(30))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import packing, tokens
+from . import decontam, packing, secrets, tokens
 
 QUERIES, SQL = {}, {}
 
@@ -22,3 +22,13 @@ def op1_best_fit_packing(spark, folder):
 @query
 def op7_token_files(spark, folder):
     return tokens.token_digest(table(spark, folder, "documents"))
+
+
+@query
+def op3_secret_scan(spark, folder):
+    return secrets.secret_digest(table(spark, folder, "documents"))
+
+
+@query
+def op10_benchmark_decontamination(spark, folder):
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
