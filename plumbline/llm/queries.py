@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import decontam, packing, secrets, tokens
+from . import decontam, neardup, packing, secrets, tokens
 
 QUERIES, SQL = {}, {}
 
@@ -32,3 +32,8 @@ def op3_secret_scan(spark, folder):
 @query
 def op10_benchmark_decontamination(spark, folder):
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_minhash_near_dedup(spark, folder):
+    return neardup.linked(table(spark, folder, "documents"))
