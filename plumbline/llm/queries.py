@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import decontam, neardup, packing, secrets, tokens
+from . import decontam, langid, neardup, packing, secrets, tokens, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -37,3 +37,18 @@ def op10_benchmark_decontamination(spark, folder):
 @query
 def op2_minhash_near_dedup(spark, folder):
     return neardup.linked(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
+
+
+@query
+def op6_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_embedding_near_dedup(spark, folder):
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
