@@ -174,33 +174,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs of members of one bucket with different labels that the estimate does not rule out.
 
-    rows: bucket, left and right (block numbers), chunk, node, n, label, regs. Members of blocks ``left`` and ``right`` are
-    compared register by register in array work; no pair leaves the task but likely ones.
+    rows: bucket, band, left and right (block numbers), chunk, node, n, label, regs. Members of blocks ``left`` and ``right`` are
+    compared register by register in array work; a pair leaves the task only if it is likely, and only from the first
+    band that its registers share.
     """
-    least = least_estimate(threshold)
+    least, r = least_estimate(threshold), band_rows(threshold)
 
     def compare(batches):
+        def likely(table, one, two):
+            """Of the pairs (one, two) of row numbers: those that meet here first and are not ruled out."""
+            n, label, band = (table[c].to_numpy() for c in ("n", "label", "band"))
+            keep = (label[one] != label[two]) & (np.minimum(n[one], n[two]) >= threshold * np.maximum(n[one], n[two]) - 1e-9)
+            one, two = one[keep], two[keep]
+            if not len(one):
+                return
+            regs = np.frombuffer(b"".join(table["regs"].to_pylist()), ">u2").reshape(len(n), -1).astype(np.uint16)
+            for k in range(0, len(one), 1 << 14):
+                i, j = one[k : k + (1 << 14)], two[k : k + (1 << 14)]
+                x, y = regs[i], regs[j]
+                up, down = (x > y).sum(1), (x < y).sum(1)
+                shared = (x == y)[:, : REGISTERS // r * r].reshape(len(i), -1, r).all(2)
+                yes = (shared.argmax(1) == band[i]) & (estimate(up, down, n[i], n[j]) >= least)
+                yield i[yes], j[yes]
+
         def flush(table):
-            chunk, left, right = (table[c].to_numpy() for c in ("chunk", "left", "right"))
-            node, n, label = (table[c].to_numpy() for c in ("node", "n", "label"))
-            regs = np.frombuffer(b"".join(table["regs"].to_pylist()), ">u2").reshape(len(node), -1).astype(np.uint16)
-            out_a, out_b = [], []
-            for i in range(len(node)):
-                if left[i] != right[i]:
-                    if chunk[i] != left[i]:
+            """Pairs within each run of equal keys; a run is one block or a pair of blocks."""
+            key = np.stack([table[c].to_numpy() for c in ("bucket", "left", "right")], 1)
+            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+            chunk, left, right, node = (table[c].to_numpy() for c in ("chunk", "left", "right", "node"))
+            waiting, size = [], 0
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                for i in range(a, b):
+                    if left[i] == right[i]:
+                        two = np.arange(i + 1, b)
+                    elif chunk[i] == left[i]:
+                        two = a + np.flatnonzero(chunk[a:b] == right[i])
+                    else:
                         continue
-                    others = np.flatnonzero(chunk == right[i])
-                else:
-                    others = np.arange(i + 1, len(node))
-                others = others[label[others] != label[i]]
-                others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]) - 1e-9]
-                if len(others):
-                    up, down = (regs[i] > regs[others]).sum(1), (regs[i] < regs[others]).sum(1)
-                    others = others[estimate(up, down, np.full(len(others), n[i]), n[others]) >= least]
-                    out_a.append(np.minimum(node[i], node[others]))
-                    out_b.append(np.maximum(node[i], node[others]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    waiting.append((np.full(len(two), i), two))
+                    size += len(two)
+                    if size >= 1 << 20 or (i == b - 1 == len(key) - 1):
+                        yield from waiting_pairs(table, node, waiting)
+                        waiting, size = [], 0
+            if waiting:
+                yield from waiting_pairs(table, node, waiting)
+
+        def waiting_pairs(table, node, waiting):
+            one, two = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            for i, j in likely(table, one, two):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
         held = None
         for batch in batches:
@@ -210,14 +233,14 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             key = np.stack([table[c].to_numpy() for c in ("bucket", "left", "right")], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            edges = np.concatenate([[0], cuts])
-            for a, b in zip(edges[:-1], edges[1:]):
-                yield from flush(table.slice(int(a), int(b - a)).combine_chunks())
-            held = table.slice(int(edges[-1]))
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from flush(table.slice(0, last).combine_chunks())
+            held = table.slice(last)
         if held is not None and held.num_rows:
             yield from flush(held.combine_chunks())
 
-    dealt = rows.select("bucket", "left", "right", "chunk", "node", "n", "label", "regs").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
+    dealt = rows.select("bucket", "band", "left", "right", "chunk", "node", "n", "label", "regs").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -235,8 +258,7 @@ def linked(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     rows = stored(sketches(docs, size))
     nodes = stored(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     r = band_rows(threshold)
-    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * r * i, 2 * r)) for i in range(REGISTERS // r)])).alias("bucket")
-    banded = nodes.select("node", bucket)
+    banded = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * r * i, 2 * r)) for i in range(REGISTERS // r)])).alias("band", "bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot != other").select("bucket", "pivot"))
     members = stored(banded.join(shared, "bucket"))
     pairs = stored(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
@@ -247,7 +269,7 @@ def linked(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     links = star.unionByName(same)
     labels = components(links)
 
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    labelled = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
     open_ = open_.select("bucket", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"))
     met = labelled.join(open_, "bucket").join(nodes.select("node", "n", "regs"), "node").withColumn("chunk", F.pmod(F.hash("node"), "blocks"))

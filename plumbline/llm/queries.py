@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import decontam, langid, neardup, packing, secrets, tokens, toxicity, vectors
+from . import decontam, langid, neardup, packing, pii, secrets, tokens, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +52,8 @@ def op6_toxicity(spark, folder):
 @query
 def op4_embedding_near_dedup(spark, folder):
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op8_pii_surrogates(spark, folder):
+    return pii.surrogates(table(spark, folder, "documents"))
