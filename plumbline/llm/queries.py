@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import decontam, langid, neardup, packing, pii, secrets, tokens, toxicity, vectors
+from . import decontam, langid, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -57,3 +57,8 @@ def op4_embedding_near_dedup(spark, folder):
 @query
 def op8_pii_surrogates(spark, folder):
     return pii.surrogates(table(spark, folder, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark, folder):
+    return suffixes.repeat_digest(table(spark, folder, "documents"))
