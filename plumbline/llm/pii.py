@@ -47,6 +47,11 @@ def words_of(entity: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.array(part(kind, plain)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def keyed_bytes(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts).cast("binary"), 512)
 
@@ -83,25 +88,31 @@ def surrogate_word(kind: Column, word: Column, attempt: Column, key: str) -> Col
     Kept: country codes of phones and IBANs, issuer digit and check rule of cards, top-level domains; a mail domain is
     replaced by itself alone, so addresses of one domain share one. First names end as their gender suggests.
     """
-    own = keyed_bytes(key, kind, word, attempt.cast("string"))
-    domain = keyed_bytes(key, F.lit("domain"), F.substring_index(word, "@", -1))
-    chars = characters(word)
-    n, mark, top = F.length(word), F.locate("@", word), F.length(word) - F.locate(".", F.reverse(word)) + 1
-    body = F.transform(chars, lambda c, i: swapped(c, at(own, i)))
-    email = F.transform(chars, lambda c, i: F.when(i + 1 > top, c).when(i + 1 > mark, swapped(c, at(domain, i - mark))).otherwise(swapped(c, at(own, i))))
-    ip = F.concat_ws(".", *[(at(own, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    keep = F.when(kind == "iban", 4).when(kind == "phone", F.greatest(F.lit(0), F.least(n - 10, F.lit(3)))).otherwise(1)
-    coded = F.transform(chars, lambda c, i: F.when(i < keep, c).otherwise(swapped(c, at(own, i))))
-    numbers = F.transform(F.slice(coded, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda c: c.try_cast("int"))
-    given = F.transform(F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda c: c.try_cast("int"))
-    valid = (luhn_sum(given) + F.element_at(chars, -1).try_cast("int")) % 10 == 0
-    checked = F.concat(F.array_join(F.transform(numbers, lambda d: d.cast("string")), ""), F.pmod(F.lit(10) - luhn_sum(numbers) % 10, F.lit(10)).cast("string"))
-    flat = F.array_join(body, "")
+    own = F.struct(kind.alias("kind"), word.alias("word"), keyed_bytes(key, kind, word, attempt.cast("string")).alias("own"), characters(word).alias("chars"))
+    return let(own, lambda w: surrogate_of(w["kind"], w["word"], w["own"], w["chars"], key))
+
+
+def surrogate_of(kind: Column, word: Column, own: Column, chars: Column, key: str) -> Column:
+    n = F.size(chars)
+    plain = lambda keep: F.array_join(F.transform(chars, lambda c, i: F.when(i < keep, c).otherwise(swapped(c, at(own, i)))), "")
+
+    def email():
+        bounds = F.struct(F.locate("@", word).alias("mark"), (n - F.locate(".", F.reverse(word)) + 1).alias("top"), keyed_bytes(key, F.lit("domain"), F.substring_index(word, "@", -1)).alias("domain"))
+        pick = lambda b, i: F.when(i + 1 > b["mark"], at(b["domain"], i - b["mark"])).otherwise(at(own, i))
+        return let(bounds, lambda b: F.array_join(F.transform(chars, lambda c, i: F.when(i + 1 > b["top"], c).otherwise(swapped(c, pick(b, i)))), ""))
+
+    def card():
+        digits = lambda w: F.transform(F.slice(characters(w), F.lit(1), n - 1), lambda c: c.try_cast("int"))
+        valid = (luhn_sum(digits(word)) + F.element_at(chars, -1).try_cast("int")) % 10 == 0
+        check = lambda w: F.concat(F.substr(w, F.lit(1), n - 1), F.pmod(F.lit(10) - luhn_sum(digits(w)) % 10, F.lit(10)).cast("string"))
+        return let(plain(F.lit(1)), lambda w: F.when(valid, check(w)).otherwise(w))
+
     latin = word.rlike("[a-z]$")
     ending = F.when(kind == "first_f", F.when(latin, "a").otherwise("а")).otherwise(F.when(latin, F.substr(F.lit("nrslk"), at(own, F.lit(63)) % 5 + 1, F.lit(1))).otherwise("н"))
-    first = F.concat(F.substr(flat, F.lit(1), n - 1), ending)
-    return F.when(kind == "ip", ip).when(kind == "email", F.array_join(email, "")).when(kind == "card", F.when(valid, checked).otherwise(F.array_join(coded, ""))) \
-        .when(kind.isin("phone", "iban"), F.array_join(coded, "")).when(kind.startswith("first"), first).otherwise(flat)
+    keep = F.when(kind == "iban", 4).when(kind == "phone", F.greatest(F.lit(0), F.least(n - 10, F.lit(3)))).when(kind == "ssn", 1).otherwise(0)
+    ip = F.concat_ws(".", *[(at(own, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+    return F.when(kind == "ip", ip).when(kind == "email", email()).when(kind == "card", card()) \
+        .otherwise(let(plain(keep), lambda w: F.when(kind.startswith("first"), F.concat(F.substr(w, F.lit(1), n - 1), ending)).otherwise(w)))
 
 
 def styled(entity: Column, word: Column) -> Column:
@@ -123,9 +134,9 @@ def replaced(entity: Column, key: str, known: Column | None) -> Column:
         first = surrogate_word(w["kind"], w["word"], F.lit(0), key)
         return first if known is None else F.coalesce(F.try_element_at(known, F.concat_ws("|", w["kind"], w["word"])), first)
 
-    words = F.transform(words_of(entity), one)
     title = F.regexp_extract(entity, rf"^((?:{TITLES_M}|{TITLES_F}) )", 1)
-    return F.when(kind_of(entity) == "name", F.concat(title, F.array_join(F.transform(words, lambda w: F.initcap(w)), " "))).otherwise(styled(entity, F.element_at(words, 1)))
+    shaped = lambda w: F.when(kind_of(entity) == "name", F.concat(title, F.array_join(F.transform(w, lambda x: F.initcap(x)), " "))).otherwise(styled(entity, F.element_at(w, 1)))
+    return let(F.transform(words_of(entity), one), shaped)
 
 
 def surrogate_overrides(documents: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
