@@ -30,6 +30,27 @@ def extended(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(more).fields)
 
 
+def releasing(fn):
+    """``fn`` over the batches of a task; afterwards the worker, which waits for other tasks, gives free memory back."""
+
+    def run(batches):
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over all 64."""
     x = x ^ (x >> np.uint64(30))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, extended, lower_ascii, mix, segments, text_buffer
+from .common import WordHasher, extended, lower_ascii, mix, releasing, segments, text_buffer
 
 #: Bytes of benchmark text in one pattern table; a larger benchmark is searched table after table.
 TABLE_BYTES = 16 << 20
@@ -190,7 +190,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                  pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
                 names=[*batch.schema.names, *added])
 
-    return documents.mapInArrow(scan, extended(documents.schema, "n_words long, n_hit long, hit_spans array<struct<first:long,last:long>>, items array<string>"))
+    return documents.mapInArrow(releasing(scan), extended(documents.schema, "n_words long, n_hit long, hit_spans array<struct<first:long,last:long>>, items array<string>"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

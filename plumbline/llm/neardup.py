@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, components, lower_ascii, mix, segments, stored, text_buffer
+from .common import WordHasher, components, lower_ascii, mix, releasing, segments, stored, text_buffer
 
 #: Registers of a sketch, base of their exponential scale and rate of the exponential hash values.
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, (1 << 16) - 2
@@ -120,14 +120,14 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
         hasher = words_by_space()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for lo, hi in segments(offsets, 1 << 23):
+            for lo, hi in segments(offsets, 1 << 22):
                 sets = shingle_sets(hasher, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), pa.array([r.tobytes() for r in registers(sets)])],
                     names=["doc_id", "n", "digest", "regs"])
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sketch, "doc_id long, n long, digest binary, regs binary")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(releasing(sketch), "doc_id long, n long, digest binary, regs binary")
 
 
 def sets_of(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -137,13 +137,13 @@ def sets_of(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         hasher = words_by_space()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for lo, hi in segments(offsets, 1 << 23):
+            for lo, hi in segments(offsets, 1 << 22):
                 sets = shingle_sets(hasher, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     texts = documents.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(wanted, "node", "left_semi")
-    return texts.mapInArrow(build, "node long, shingles array<long>")
+    return texts.mapInArrow(releasing(build), "node long, shingles array<long>")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -241,7 +241,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
             yield from flush(held.combine_chunks())
 
     dealt = rows.select("bucket", "band", "left", "right", "chunk", "node", "n", "label", "regs").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(compare), "a long, b long").distinct()
 
 
 def linked(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import releasing, stored
 from .tokens import default_tokenizer, encoded_texts
 
 #: Pieces that are packed together in one task. More pieces make more such groups.
@@ -65,7 +65,7 @@ def cut_pieces(documents: DataFrame, path: str, end_id: int, tokens: int) -> Dat
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(releasing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(
@@ -95,4 +95,4 @@ def pack_documents(
         yield from table.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
 
     shape = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    return pieces.repartition(max(1, -(-n // group))).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.repartition(max(1, -(-n // group))).mapInArrow(releasing(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

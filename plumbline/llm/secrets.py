@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended
+from .common import extended, releasing
 
 # The three base kinds with the least length of what must be long.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -123,7 +123,7 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], names=[*batch.schema.names, *added])
 
-    return documents.mapInArrow(scan, extended(documents.schema, ", ".join(f"{k} {'long' if k[:2] == 'n_' else 'string'}" for k in added)))
+    return documents.mapInArrow(releasing(scan), extended(documents.schema, ", ".join(f"{k} {'long' if k[:2] == 'n_' else 'string'}" for k in added)))
 
 
 def secret_digest(documents: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHasher, lower_ascii, segments, text_buffer
+from .common import WordHasher, lower_ascii, releasing, segments, text_buffer
 
 #: Ids in one block of the file format.
 BLOCK = 1 << 16
 #: Distinct text units whose ids a worker remembers; beyond that it starts again. This bounds memory and changes no result.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
+#: Units given to the library at once.
+LEARNED = 4096
 
 
 def default_tokenizer() -> str:
@@ -50,7 +52,9 @@ class UnitEncoder:
         self.first, self.count, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def learn(self, hashes: list[int], units: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        found = []
+        for k in range(0, len(units), LEARNED):  # the library's results are large
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(units[k : k + LEARNED], add_special_tokens=False)]
         n, flat = len(self.known), np.concatenate(found)
         while n + len(found) > len(self.first):
             self.first, self.count = np.concatenate([self.first] * 2), np.concatenate([self.count] * 2)
@@ -193,7 +197,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
 
     tie = F.xxhash64("text")
     ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(write, BLOCKS).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(releasing(write), BLOCKS).write.option("compression", "none").parquet(folder)
 
 
 def crc_joined(parts) -> int:
@@ -244,7 +248,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     blocks = spark.read.schema(BLOCKS).parquet(folder)
-    pieces = blocks.mapInArrow(read, schema)
+    pieces = blocks.mapInArrow(releasing(read), schema)
     # pieces without a document belong to the last one that started before them in their part
     spanning = blocks.select("part", F.explode(F.arrays_zip("doc_starts", "doc_lengths")).alias("d"), (F.col("first_id") + F.col("n_ids")).alias("end")) \
         .select("part", F.col("d.doc_starts").alias("start"), F.col("d.doc_lengths").alias("length"), "end").filter("start + length > end")

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, extended, lower_ascii, mix, segments, text_buffer
+from .common import WordHasher, extended, lower_ascii, mix, releasing, segments, text_buffer, trim
 
 #: Labelled rows of either label that teach the model, the first by a hash of doc_id.
 TAUGHT = 3000
@@ -96,10 +96,26 @@ def learn(documents: DataFrame, labels: DataFrame, taught: int = TAUGHT):
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         data, offsets = text_buffer(pa.array([bytes(t) for t in pdf["text"]], pa.large_binary()))
-        features, sentence, owner, _, _ = sentence_features(letters(), data, offsets)
+        hasher, texts = letters(), np.zeros(1 << 23, np.uint16)
+        place = lambda f: (f & np.uint64(len(texts) - 1)).astype(np.int64)
+
+        def parts():
+            for lo, hi in segments(offsets):
+                yield lo, sentence_features(hasher, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+        for _, (f, s, own, _, _) in parts():  # texts per place: no fewer than of any feature there
+            _, once = np.unique(mix(f + np.uint64(0x9E3779B97F4A7C15) * own[s].astype(np.uint64)), return_index=True)
+            np.add.at(texts, place(f[once]), 1)
+        kept, n = [], 0
+        for lo, (f, s, own, _, _) in parts():
+            often = texts[place(f)] >= LEAST_TEXTS
+            kept.append((f[often], s[often] + n, own + lo))
+            n += len(own)
+        features, sentence, owner = (np.concatenate(c) for c in zip(*kept))
         toxic = pdf["toxic"].to_numpy()
         share = {k: sizes[k] / max(1, (toxic == k).sum()) for k in sizes}
         names, w, bias = fit(features, sentence, owner, toxic, np.array([share[k] for k in toxic], float))
+        trim()
         return pd.DataFrame({"names": [names.tobytes()], "weights": [w.tobytes()], "bias": [bias]})
 
     found = rows.groupBy("all").applyInPandas(train, "names binary, weights binary, bias double").collect()
@@ -150,7 +166,7 @@ def scored(documents: DataFrame, model, threshold: float = 0.3) -> DataFrame:
             score = np.clip(score, 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(offending, place)], names=[*batch.schema.names, *added])
 
-    return documents.mapInArrow(run, extended(documents.schema, "score double, predicted int, offending array<struct<start:long,end:long,score:double>>"))
+    return documents.mapInArrow(releasing(run), extended(documents.schema, "score double, predicted int, offending array<struct<start:long,end:long,score:double>>"))
 
 
 def held_out(column: str = "doc_id"):
