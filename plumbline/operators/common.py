@@ -63,7 +63,8 @@ def mean_of(columns: Sequence[Column]) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    """``c`` within bounds; NaN is NULL (Spark would order it above every bound)."""
+    return F.least(F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.greatest(c, F.lit(lo))), F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.lit(hi)))
 
 
 def safe_corr(a: Column, b: Column) -> Column:

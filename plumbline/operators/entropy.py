@@ -17,10 +17,8 @@ from .profile import entropy_of_counts, rare_patterns
 # Bins, smoothing, thresholds and weights.
 ENTROPY_BINS = 50
 MI_BINS = 10
-MI_COLUMNS = 20
 MI_FLOOR = 1e-6
 VARIANCE_SHARE = 0.90
-MAX_COMPONENTS = 50
 ENTROPY_THRESHOLD = 65.0
 ENTROPY_WEIGHTS = {"entropy_score": 0.5, "mi_preservation": 0.2, "dimension_score": 0.3}
 RETENTION_DROP = 0.20
@@ -59,7 +57,7 @@ def mutual_information(pair: DataFrame, cols: Sequence[str] | None = None, bins:
 
     All rows enter one aggregate over (column, bin, bin); bins span the joint range of both sides.
     """
-    cols = limit_columns(cols or pair_columns(pair), MI_COLUMNS)
+    cols = list(cols or pair_columns(pair))
     nxt = {c: cols[(i + 1) % len(cols)] for i, c in enumerate(cols)}
     cut = binned(pair, cols, column_ranges(pair, cols, [KEY]), [KEY], bins)
     rows = F.array(*[
@@ -103,11 +101,11 @@ def effective_dimensions(pair: DataFrame, cols: Sequence[str] | None = None) ->
                 m = np.zeros((d, d))
                 for (i, j), v in zip(pairs, flat):
                     m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
-                values = np.clip(np.linalg.eigvalsh(m)[::-1], 0, None)[:MAX_COMPONENTS]
+                values = np.clip(np.linalg.eigvalsh(m)[::-1], 0, None)
                 total = values.sum()
                 share = np.cumsum(values) / total if total > 0 else np.ones(1)
                 counts.append(int(np.searchsorted(share, VARIANCE_SHARE, side="right")) + 1)
-            yield pd.DataFrame({KEY: pdf[KEY], "side": pdf["side"], "dims": np.minimum(counts, min(d, MAX_COMPONENTS))})
+            yield pd.DataFrame({KEY: pdf[KEY], "side": pdf["side"], "dims": np.minimum(counts, d)})
 
     kind = pair.schema[KEY].dataType.simpleString()
     dims = packed.mapInPandas(count_components, f"{KEY} {kind}, side string, dims long")

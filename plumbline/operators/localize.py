@@ -227,8 +227,9 @@ def exact_duplicates(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFra
 
 def entity_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Entities that occur more than once after case, space and punctuation are ignored."""
-    normal = [F.lower(F.regexp_replace(F.col(k).cast("string"), "[^A-Za-z0-9]+", "")).alias(k) for k in keys]
-    return df.groupBy(*normal).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    normal = [F.lower(F.regexp_replace(F.col(k).cast("string"), r"[^\p{L}\p{N}]+", "")).alias(k) for k in keys]
+    named = df.select(*normal).filter(" OR ".join(f"`{k}` != ''" for k in keys))
+    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
 def with_region(df: DataFrame, order_cols: Sequence[str], size: int) -> DataFrame:

@@ -122,8 +122,12 @@ def with_row_index(
     group_cols: Sequence[str] = (),
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Contiguous 0-based position in ``order_cols`` order, inside each group if groups are given."""
-    counted = with_running_sums(df, order_cols, {out: F.lit(1)}, group_cols, n_buckets)
+    """Contiguous 0-based position in ``order_cols`` order, inside each group if groups are given.
+
+    Ties are broken by the other columns in their order; rows that are still equal are interchangeable.
+    """
+    rest = [f.name for f in df.schema.fields if f.name not in (*order_cols, *group_cols) and "map<" not in f.dataType.simpleString()]
+    counted = with_running_sums(df, [*order_cols, *rest], {out: F.lit(1)}, group_cols, n_buckets)
     return counted.withColumn(out, (F.col(out) - 1).cast("long"))
 
 
