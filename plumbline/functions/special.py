@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 
 
 def upper_gamma_ratio(a: float, x: float) -> float:
@@ -50,19 +49,23 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def harmonic(m: int, power: int = 1) -> float:
+    """Sum of 1 / i**power for i = 1..m (power 1 or 2), by the Euler-Maclaurin series taken 16 terms further on."""
+    x = m + 16.0
+    if power == 1:
+        far = math.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    else:
+        far = math.pi**2 / 6 - 1 / x + 1 / (2 * x**2) - 1 / (6 * x**3) + 1 / (30 * x**5) - 1 / (42 * x**7)
+    return far - math.fsum((m + k) ** -float(power) for k in range(1, 17))
+
+
 def anderson_darling_sigma(n1: int, n2: int) -> float:
-    """Standard deviation of the two-sample A2kN statistic (Scholz and Stephens, 1987)."""
+    """Standard deviation of the two-sample A2kN statistic (Scholz and Stephens, 1987), by one formula for every size."""
     n, k = n1 + n2, 2
     inverse = 1.0 / n1 + 1.0 / n2
-    if n <= 10_000_000:
-        i = np.arange(1, n, dtype=float)
-        h = float(np.sum(1.0 / i))
-        # g = sum_{i<j<n} 1 / ((n - i) j), with the inner sums as one running total
-        tail = np.cumsum(1.0 / i[::-1])[::-1]
-        g = float(np.sum(tail[1:] / (n - i[:-1])))
-    else:
-        h = math.log(n - 1) + 0.5772156649015329 + 0.5 / (n - 1)
-        g = math.pi**2 / 6
+    h = harmonic(n - 1)
+    # g = sum_{i<j<n} 1 / ((n - i) j), which is the sum of squared reciprocals less a harmonic term
+    g = harmonic(n - 1, 2) - 2 * h / n
     a = (4 * g - 6) * (k - 1) + (10 - 6 * g) * inverse
     b = (2 * g - 4) * k**2 + 8 * h * k + (2 * g - 14 * h - 4) * inverse - 8 * h + 4 * g - 6
     c = (6 * h + 2 * g - 2) * k**2 + (4 * h - 4 * g + 6) * k + (2 * h - 6) * inverse + 4 * h

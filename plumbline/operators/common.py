@@ -50,11 +50,18 @@ def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join with a per-key aggregate: broadcast when its size is checked, shuffle join otherwise."""
+def same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys that also matches null keys; the key columns are those of ``left``."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join with a per-key aggregate: broadcast when its size is checked, shuffle join otherwise. Null keys match."""
     local = checked_small(small, max_rows)
     right = small if local is None else F.broadcast(local)
-    return big.join(right, list(on), how) if on else big.join(right, how="cross" if how == "inner" else how)
+    return same_key_join(big, right, on) if on else big.crossJoin(right)
 
 
 def mean_of(columns: Sequence[Column]) -> Column:
@@ -82,7 +89,7 @@ def wide_aggregate(df: DataFrame, keys: Sequence[str], exprs: Sequence[Column])
         if out is None:
             out = agg
         else:
-            out = out.join(agg, list(keys)) if keys else out.crossJoin(agg)
+            out = same_key_join(out, agg, keys) if keys else out.crossJoin(agg)
     return out
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import anderson_darling_sigma, chi2_tail, normal_two_sided
-from .common import checked_small, clamp
+from .common import checked_small, clamp, same_key_join
 from .histogram import binned, column_ranges, fill_bins
 from .ordered import ranked_values, with_row_index
 from .pairs import is_orig, is_syn, pair_columns
@@ -33,13 +33,9 @@ FIDELITY_WEIGHTS = {
 CONSISTENCY_WEIGHTS = {"chi2_consistency": 0.35, "anderson_darling": 0.35, "mann_whitney": 0.30}
 
 
-def limit_columns(cols: Sequence[str], max_cols: int | None) -> list[str]:
-    return list(cols if max_cols is None else cols[:max_cols])
-
-
-def ecdf_merge(pair: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None) -> DataFrame:
+def ecdf_merge(pair: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Distinct values of every column with counts (cs, co), running counts and the next value."""
-    cols = limit_columns(cols or pair_columns(pair), max_cols)
+    cols = list(cols or pair_columns(pair))
     merged = ranked_values(pair, cols, {"cs": is_syn(), "co": is_orig()}, [KEY])
     return merged.withColumnsRenamed({"cum_cs": "cum_s", "cum_co": "cum_o", "tot_cs": "n_s", "tot_co": "n_o"})
 
@@ -102,13 +98,13 @@ def moment_match(pair: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def side_histograms(
-    pair: DataFrame, bins: int, ranges: str = "syn", cols: Sequence[str] | None = None, max_cols: int | None = None
+    pair: DataFrame, bins: int, ranges: str = "syn", cols: Sequence[str] | None = None
 ) -> DataFrame:
     """Counts of both sides per bin: validation_id, col, bin, cs, co.
 
     ``ranges``: ``syn`` bins both sides on the synthetic range, ``both`` on the joint range, ``own`` each side on its own.
     """
-    cols = limit_columns(cols or pair_columns(pair), max_cols)
+    cols = list(cols or pair_columns(pair))
     if ranges == "own":
         limits, on = column_ranges(pair, cols, [KEY, "side"]), [KEY, "side"]
     else:
@@ -121,7 +117,7 @@ def side_histograms(
         F.sum(is_syn()).alias("cs"), F.sum(is_orig()).alias("co")
     )
     filled = fill_bins(counts.withColumn("n", F.lit(1)).select(KEY, "col", "bin", "n"), [KEY], bins).drop("n")
-    return filled.join(counts, [KEY, "col", "bin"], "left").select(
+    return same_key_join(filled, counts, [KEY, "col", "bin"], "left").select(
         KEY, "col", "bin", F.coalesce("cs", F.lit(0)).alias("cs"), F.coalesce("co", F.lit(0)).alias("co")
     )
 
@@ -129,7 +125,7 @@ def side_histograms(
 def with_mass(hist: DataFrame) -> DataFrame:
     """Add the share of each side per bin (ps, po) with the guard against an empty side."""
     totals = hist.groupBy(KEY, "col").agg(F.sum("cs").alias("_ts"), F.sum("co").alias("_to"))
-    joined = hist.join(totals, [KEY, "col"])
+    joined = same_key_join(hist, totals, [KEY, "col"])
     return joined.select(
         KEY, "col", "bin", "cs", "co",
         (F.col("cs") / (F.col("_ts") + SMOOTH)).alias("ps"),
@@ -140,7 +136,7 @@ def with_mass(hist: DataFrame) -> DataFrame:
 def smoothed(mass: DataFrame) -> DataFrame:
     """Shares plus a small constant, normalised again (qs, qo)."""
     totals = mass.groupBy(KEY, "col").agg(F.sum(F.col("ps") + SMOOTH).alias("_s"), F.sum(F.col("po") + SMOOTH).alias("_o"))
-    return mass.join(totals, [KEY, "col"]).select(
+    return same_key_join(mass, totals, [KEY, "col"]).select(
         KEY, "col", "bin", ((F.col("ps") + SMOOTH) / F.col("_s")).alias("qs"), ((F.col("po") + SMOOTH) / F.col("_o")).alias("qo")
     )
 
@@ -172,10 +168,10 @@ def weighted_score(df: DataFrame, weights: dict[str, float], threshold: float) -
 
 
 def distribution_fidelity(
-    pair: DataFrame, cols: Sequence[str] | None = None, summary: DataFrame | None = None, max_cols: int | None = None
+    pair: DataFrame, cols: Sequence[str] | None = None, summary: DataFrame | None = None
 ) -> DataFrame:
     """Six part scores, the weighted score and the verdict per validation."""
-    cols = limit_columns(cols or pair_columns(pair), max_cols)
+    cols = list(cols or pair_columns(pair))
     summary = ecdf_summary(ecdf_merge(pair, cols)) if summary is None else summary
     hist = side_histograms(pair, HISTOGRAM_BINS, "syn", cols)
     ranks = summary.groupBy(KEY).agg(
@@ -183,7 +179,7 @@ def distribution_fidelity(
         (100.0 * F.avg(1.0 - F.least(F.lit(1.0), F.col("area") / (F.col("range_o") + 1e-8)))).alias("wasserstein_similarity"),
     )
     shares = smoothed_overlap(hist)
-    parts = ranks.join(moment_match(pair, cols), KEY).join(shares, KEY)
+    parts = same_key_join(same_key_join(ranks, moment_match(pair, cols), [KEY]), shares, [KEY])
     return weighted_score(parts, FIDELITY_WEIGHTS, FIDELITY_THRESHOLD)
 
 
@@ -191,7 +187,7 @@ def smoothed_overlap(hist: DataFrame) -> DataFrame:
     """Histogram intersection and KL similarity from one pass over the bin table."""
     mass = with_mass(hist)
     sums = mass.groupBy(KEY, "col").agg(F.sum(F.col("ps") + SMOOTH).alias("_s"), F.sum(F.col("po") + SMOOTH).alias("_o"))
-    both = mass.join(sums, [KEY, "col"])
+    both = same_key_join(mass, sums, [KEY, "col"])
     qs, qo = (F.col("ps") + SMOOTH) / F.col("_s"), (F.col("po") + SMOOTH) / F.col("_o")
     per_col = both.groupBy(KEY, "col").agg(F.sum(F.least("ps", "po")).alias("_hi"), F.sum(qs * F.ln(qs / qo)).alias("_kl"))
     return per_col.groupBy(KEY).agg(
@@ -212,7 +208,7 @@ def chi2_statistic(pair: DataFrame, cols: Sequence[str] | None = None, shared: b
     s, o = F.col("cs") + 1.0, F.col("co") + 1.0
     totals = hist.groupBy(KEY, "col").agg(F.sum(s).alias("_s"), F.sum(o).alias("_o"))
     expected = o * F.col("_s") / F.col("_o")  # both totals are at least the number of bins
-    return hist.join(totals, [KEY, "col"]).groupBy(KEY, "col").agg(F.sum((s - expected) ** 2 / expected).alias("chi2"))
+    return same_key_join(hist, totals, [KEY, "col"]).groupBy(KEY, "col").agg(F.sum((s - expected) ** 2 / expected).alias("chi2"))
 
 
 def attach_probabilities(stats: DataFrame) -> DataFrame:
@@ -263,7 +259,7 @@ def statistical_consistency(
 ) -> DataFrame:
     """Chi-square, Anderson-Darling and Mann-Whitney agreement, weighted .35 / .35 / .30."""
     summary = ecdf_summary(ecdf_merge(pair, cols)) if summary is None else summary
-    stats = summary.join(chi2_statistic(pair, cols, shared), [KEY, "col"])
+    stats = same_key_join(summary, chi2_statistic(pair, cols, shared), [KEY, "col"])
     probs = attach_probabilities(stats)
     ad = F.coalesce(100.0 * F.exp(-F.col("ad_stat") / 10.0), F.lit(50.0))
     parts = probs.groupBy(KEY).agg(

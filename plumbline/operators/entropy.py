@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import number, wide_aggregate
-from .compare import KEY, limit_columns, side_histograms, weighted_score
+from .compare import KEY, side_histograms, weighted_score
 from .histogram import binned, column_ranges
 from .pairs import is_orig, is_syn, pair_columns
 from .profile import entropy_of_counts, rare_patterns
@@ -86,7 +86,7 @@ def effective_dimensions(pair: DataFrame, cols: Sequence[str] | None = None) ->
 
     Covariances are one aggregate over all rows; each group handed to numpy is one d x d matrix.
     """
-    cols = limit_columns(cols or pair_columns(pair), None)
+    cols = list(cols or pair_columns(pair))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     wide = wide_aggregate(
         pair, [KEY, "side"], [F.covar_samp(number(cols[i]), number(cols[j])).alias(f"_c{k}") for k, (i, j) in enumerate(pairs)]

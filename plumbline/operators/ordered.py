@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import number
+from .common import number, same_key_join
 
 INF = float("inf")
 
@@ -109,7 +109,7 @@ def with_running_sums(
     ranked = cut.withColumns({f"_in_{k}": F.sum(e).over(inside) for k, e in sums.items()})
     starts = bucket_starts(cut, groups, {f"_start_{k}": F.sum(e) for k, e in sums.items()})
     if groups:
-        joined = _same_key_join(ranked, starts, [*groups, "_bucket"])
+        joined = same_key_join(ranked, starts, [*groups, "_bucket"])
     else:
         joined = ranked.join(F.broadcast(starts), "_bucket")  # one row per bucket
     return joined.select(*df.columns, *[(F.col(f"_in_{k}") + F.col(f"_start_{k}")).alias(k) for k in sums])
@@ -143,16 +143,6 @@ def bucket_starts(df: DataFrame, groups: Sequence[str], totals: dict[str, Column
     )
 
 
-def _same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join that also matches null keys."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
-    for c in on:
-        test = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        cond = test if cond is None else cond & test
-    return left.join(renamed, cond).drop(*[f"_r_{c}" for c in on])
-
-
 def with_previous(df: DataFrame, group_cols: Sequence[str], index: str, value: str, out: str, offset: int = 1) -> DataFrame:
     """Value ``offset`` positions earlier in the same group, found by an equi-join on (group, position)."""
     groups = list(group_cols)
@@ -209,7 +199,7 @@ def ranked_values(
         *[F.sum(k).over(running).alias(f"_c_{k}") for k in names],
         F.lead("value").over(inside).alias("_next"),
     )
-    joined = _same_key_join(ranked, starts, [*groups, "_bucket"])
+    joined = same_key_join(ranked, starts, [*groups, "_bucket"])
     return joined.select(
         *groups,
         "value",

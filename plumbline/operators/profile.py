@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checked_small, clamp, lookup_join, melt, number, numeric_columns, wide_aggregate
+from .common import checked_small, clamp, lookup_join, melt, number, numeric_columns, same_key_join, wide_aggregate
 from .histogram import bin_index, column_ranges
 from .ordered import quantiles, ranked_values
 
@@ -163,7 +163,7 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequenc
         return column_moments(df, cols, keys, extra)
     moments = column_moments(df, cols, keys)
     points = quantiles(df, cols, REPORT_QUANTILES, keys).drop("count")
-    return moments.join(points, [*keys, "col"], "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+    return same_key_join(moments, points, [*keys, "col"], "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
 
 
 def running_stats(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:

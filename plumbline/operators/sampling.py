@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import lookup_join, number, numeric_columns
+from .common import lookup_join, number, numeric_columns, same_key_join
 from .ordered import default_buckets, quantiles, ranked_values
 
 
@@ -23,21 +23,24 @@ def unit_hash(digest: Column) -> Column:
 def lowest_hashes(df: DataFrame, keys: Sequence[str], quota: Column, sizes: DataFrame, digest: str = "_h") -> DataFrame:
     """Exactly ``quota`` rows per key with the lowest digest.
 
-    The digest is uniform, so the rows that can be in the quota lie below a threshold known from the group
-    size. Only those rows are numbered: the ordered step handles about the sample, not the group. A group
-    whose threshold would cut too few rows is handled by the margin of ten standard deviations.
+    Rows are counted per digest range: fine ranges up to the point where uniform digests fill the quota, doubling
+    ranges beyond it. Only rows of ranges that start below the quota are numbered, so with distinct digests the ordered
+    step handles about the sample, not the group, and with repeated ones the sample is still whole. Rows of one digest
+    are ordered by a hash of all their columns.
     """
-    margin = (quota + 10.0 * F.sqrt(quota) + 50.0) / F.col("_size")
-    near = lookup_join(df, sizes, keys).filter(unit_hash(F.col(digest)) <= margin)
+    margin = F.least(F.lit(1.0), (quota + 10.0 * F.sqrt(quota) + 50.0) / F.col("_size"))
     slots = default_buckets(df)
-    slot = F.floor(unit_hash(F.col(digest)) / F.least(F.lit(1.0), margin) * slots).cast("int")
-    cut = near.withColumn("_slot", slot)
+    place = unit_hash(F.col(digest)) / margin
+    slot = F.when(place < 1, F.floor(place * slots)).otherwise(slots + F.floor(F.log2(F.greatest(place, F.lit(1.0))))).cast("int")
+    cut = lookup_join(df, sizes, keys).withColumn("_slot", slot)
     # number the kept rows inside digest ranges, then shift by the sizes of the earlier ranges
-    per_slot = cut.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    per_slot = cut.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"), F.first(quota).alias("_limit"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_slot.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(digest)
-    ranked = cut.withColumn("_pos", F.row_number().over(inside)).join(starts, [*keys, "_slot"])
+    starts = per_slot.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_start") < F.col("_limit"))
+    near = lookup_join(cut, starts.select(*keys, "_slot", "_start"), [*keys, "_slot"])
+    every = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    inside = Window.partitionBy(*keys, "_slot").orderBy(digest, F.xxhash64(*every))
+    ranked = near.withColumn("_pos", F.row_number().over(inside))
     return ranked.filter(F.col("_start") + F.col("_pos") <= quota).drop("_slot", "_start", "_pos")
 
 
@@ -53,7 +56,7 @@ def balanced_sample(pair: DataFrame, n: int, id_cols: Sequence[str], keys: Seque
     hashed = pair.withColumn("_h", hash_key(id_cols, seed))
     sizes = pair.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("_size"))
     smallest = sizes.groupBy(*keys).agg(F.least(F.min("_size"), F.lit(n)).cast("double").alias("_quota"))
-    quotas = sizes.join(smallest, list(keys)) if keys else sizes.crossJoin(F.broadcast(smallest))
+    quotas = same_key_join(sizes, smallest, keys) if keys else sizes.crossJoin(F.broadcast(smallest))
     return lowest_hashes(hashed, [*keys, "side"], F.col("_quota"), quotas).drop("_size", "_quota")
 
 

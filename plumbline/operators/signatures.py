@@ -159,13 +159,6 @@ def match_hybrid(
     return _rank(exact.filter(F.col("similarity") >= threshold), k)
 
 
-def match(queries: DataFrame, library: DataFrame, k: int = TOP_K, threshold: float = MATCH_THRESHOLD, exclude_self: bool = False) -> DataFrame:
-    """Match with the strategy the library size calls for."""
-    strategy = choose_strategy(library.limit(HYBRID_BELOW + 1).count())
-    search = {"exact": match_exact, "hybrid": match_hybrid, "approximate": match_approx}[strategy]
-    return search(queries, library, k, threshold, exclude_self=exclude_self)
-
-
 def _local_search(queries, library, k, threshold, exclude_self):
     local = library.select("signature_id", "vector").toPandas()  # size checked by the caller
     ids, vectors = local["signature_id"].to_numpy(), _stack(local["vector"])

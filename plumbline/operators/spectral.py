@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import lookup_join
 from .compare import KEY, weighted_score
 from .ordered import with_row_index
+from .pairs import finite
 
 # Scale, thresholds and weights of the spectral score.
 DISTANCE_SCALE = 1000.0
@@ -24,7 +25,7 @@ def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block:
 
     Rows are numbered per side, cut into blocks of bounded length and transformed block by block; powers are
     averaged over the blocks. A side no longer than one block gives the plain spectrum. The last block is
-    padded with zeros. ``normalise`` divides by the block length, so the scale does not depend on it.
+    padded with zeros, and missing values count as zero. ``normalise`` divides by the block length, so the scale does not depend on it.
     """
     needed = [KEY, "side", *dict.fromkeys([*order_cols, *cols])]
     indexed = with_row_index(pair.select(*needed), order_cols, "_row", [KEY, "side"])
@@ -33,7 +34,7 @@ def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block:
     placed = lookup_join(indexed, longest, [KEY])
     placed = placed.select(
         KEY, "side", (F.col("_row") / F.col("_len")).cast("long").alias("_block"),
-        (F.col("_row") % F.col("_len")).cast("int").alias("_at"), "_len", *cols,
+        (F.col("_row") % F.col("_len")).cast("int").alias("_at"), "_len", *[finite(F.col(c)).alias(c) for c in cols],
     )
     names = list(cols)
 
