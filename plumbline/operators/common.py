@@ -36,6 +36,11 @@ def number(col: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def row_text(cols: Sequence[str]) -> Column:
+    """One text per row that differs wherever a value differs: fields joined by ``|``, with ``|`` and ``\\`` escaped and NULL as ``\\N``."""
+    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1"), F.lit("\\N")) for c in cols])
+
+
 def melt(df: DataFrame, keys: Sequence[str], per_column: dict[str, dict[str, Column]], name: str = "col") -> DataFrame:
     """Turn per-column expressions into rows: ``{column: {field: expr}}`` -> keys, name, fields."""
     rows = [F.struct(F.lit(c).alias(name), *[e.alias(f) for f, e in fields.items()]) for c, fields in per_column.items()]

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import melt, number, spread, wide_aggregate
+from .common import melt, number, row_text, spread, wide_aggregate
 from .correlation import correlation_matrix
 from .histogram import binned, column_ranges
 from .materialise import materialise
@@ -101,7 +101,7 @@ def with_density(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], out
     ids, names = list(id_cols), list(cols)
     picked = random_cap(df.select(*dict.fromkeys([*ids, *names])), SAMPLE_ROWS, ids)
     sample = picked.select(
-        F.concat_ws("|", *[F.col(c).cast("string") for c in ids]).alias("_id"), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in names]
+        row_text(ids).alias("_id"), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in names]
     ).toPandas()
     points = sample[names].to_numpy(dtype=float)
     place = {v: i for i, v in enumerate(sample["_id"])}
@@ -129,7 +129,7 @@ def with_density(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], out
     df = spread(df)
     carried = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ready = df.withColumn("_id", F.concat_ws("|", *[F.col(c).cast("string") for c in ids]))
+    ready = df.withColumn("_id", row_text(ids))
     return ready.mapInPandas(score, f"{fields}, {out} double")
 
 
@@ -220,9 +220,8 @@ def problem_regions(flagged: DataFrame, row_col: str = "row_id", score_col: str
 
 def exact_duplicates(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
     """Groups of identical rows: hash of the content, copies, first and last id."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
     groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
-    return groups.filter(F.col("copies") > 1).withColumn("content_hash", F.md5(text)).select("content_hash", "copies", "first_id", "last_id")
+    return groups.filter(F.col("copies") > 1).withColumn("content_hash", F.md5(row_text(cols))).select("content_hash", "copies", "first_id", "last_id")
 
 
 def entity_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checked_small, clamp, lookup_join, melt, number, numeric_columns, same_key_join, wide_aggregate
+from .common import checked_small, clamp, lookup_join, melt, number, numeric_columns, row_text, same_key_join, wide_aggregate
 from .histogram import bin_index, column_ranges
 from .ordered import quantiles, ranked_values
 
@@ -440,8 +440,7 @@ def missing_patterns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 def dataset_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Order-insensitive content hash: row count and the sums of two slices of each row's SHA-256."""
     cols = list(cols or df.columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
-    digest = F.sha2(text, 256)
+    digest = F.sha2(row_text(cols), 256)
     # the sum of rows below 16^15 stays inside decimal(38,0) for 10^19 rows
     part = [F.sum(F.conv(F.substring(digest, s, 15), 16, 10).cast("decimal(38,0)")).cast("string") for s in (1, 16)]
     return df.agg(F.count(F.lit(1)).alias("row_count"), part[0].alias("hash_a"), part[1].alias("hash_b"))

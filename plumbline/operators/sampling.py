@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import lookup_join, number, numeric_columns, same_key_join
+from .common import lookup_join, number, numeric_columns, row_text, same_key_join
 from .ordered import default_buckets, quantiles, ranked_values
 
 
 def hash_key(id_cols: Sequence[str], seed: int = 42) -> Column:
     """A stable random-looking order of rows: md5 of the identifying columns and the seed."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", row_text(id_cols), F.lit(str(seed))))
 
 
 def unit_hash(digest: Column) -> Column:

@@ -5,25 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Fixed value: row ids a report lists.
+# Fixed value: row ids a report lists; all of them go to a table beside it (write_problem_rows).
 LISTED_ROWS = 100
 
 
 def build_report(decision: DataFrame, scores: DataFrame, top_rows: DataFrame | None = None, key: str = "validation_id") -> DataFrame:
     """Nested report row per validation: decision, dimension scores, and the first problem rows.
 
-    ``top_rows`` is (validation_id, row_id, impact), best first by impact; it is a bounded top-k report.
+    ``top_rows`` is (validation_id, row_id, impact). The report counts all of them and lists the ids of the
+    highest impact; ties go to the smaller id.
     """
     dims = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "score"))).alias("dimensions"))
     out = decision.join(dims, key, "left")
     if top_rows is not None:
-        listed = top_rows.groupBy(key).agg(
-            F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("impact")).alias("o"), "row_id"))), lambda r: r["row_id"]), 1, LISTED_ROWS).alias("row_ids"),
-            F.count(F.lit(1)).alias("listed_rows"),
-        )
-        out = out.join(listed, key, "left")
+        best = Window.partitionBy(key).orderBy(F.desc("impact"), "row_id")
+        first = top_rows.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= LISTED_ROWS)
+        listed = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "row_id"))), lambda r: r["row_id"]).alias("row_ids"))
+        counts = top_rows.groupBy(key).agg(F.count(F.lit(1)).alias("listed_rows"))
+        out = out.join(counts, key, "left").join(listed, key, "left")
     else:
         out = out.withColumn("row_ids", F.array().cast("array<long>")).withColumn("listed_rows", F.lit(0).cast("long"))
     return out.select(
@@ -39,6 +40,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_problem_rows(top_rows: DataFrame, path: str) -> None:
+    """Every problem row (validation_id, row_id, impact) as the table that goes with a report."""
+    top_rows.write.mode("overwrite").parquet(path)
+
+
 def write_sample(sample: DataFrame, path: str) -> None:
     sample.write.mode("overwrite").parquet(path)
 

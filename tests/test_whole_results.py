@@ -10,9 +10,11 @@ from plumbline.operators.classifier import distinguishability, forest_votes
 from plumbline.operators.common import lookup_join, wide_aggregate
 from plumbline.operators.entropy import effective_dimensions
 from plumbline.operators.pairs import stack_pair
-from plumbline.operators.profile import column_stats
+from plumbline.operators.localize import exact_duplicates
+from plumbline.operators.profile import column_stats, dataset_fingerprint
 from plumbline.operators.sampling import balanced_sample, random_cap
 from plumbline.operators.spectral import psd
+from plumbline.sources.sinks import build_report, write_problem_rows
 
 
 def test_wide_aggregate_keeps_the_null_group(spark):
@@ -100,3 +102,28 @@ def test_effective_dimensions_of_sixty_columns(spark):
     frame = spark.createDataFrame(data)
     out = effective_dimensions(stack_pair(frame, frame)).head().asDict()
     assert any(isinstance(v, (int, float)) and v > 45 for v in out.values())
+
+
+@pytest.mark.parametrize("other", [("a", "b|c"), ("a\\|b", "c"), ("a|b|c", None), (None, "a|b|c")])
+def test_rows_with_other_fields_have_other_hashes(spark, other):
+    schema = "x string, y string"
+    prints = [dataset_fingerprint(spark.createDataFrame([r], schema)).head() for r in (("a|b", "c"), other)]
+    assert prints[0] != prints[1]
+    twice = spark.createDataFrame([(i, *r) for i, r in enumerate([("a|b", "c"), other] * 2)], "id long, " + schema)
+    assert exact_duplicates(twice, ["x", "y"], "id").select("content_hash").distinct().count() == 2
+
+
+def test_null_is_not_its_mark(spark):
+    prints = [dataset_fingerprint(spark.createDataFrame([(v,)], "x string")).head() for v in (None, "\\N", "N")]
+    assert len({p["hash_a"] for p in prints}) == 3
+
+
+def test_a_report_counts_all_rows_and_the_table_holds_them(spark, tmp_path):
+    decision = spark.createDataFrame([("v", True, 0.9, "r", 80.0, 70.0)], "validation_id string, approved boolean, confidence double, reason string, overall_score double, diversity_score double")
+    scores = spark.createDataFrame([("v", "d", 1.0)], "validation_id string, dimension string, score double")
+    top = spark.range(250).select(F.lit("v").alias("validation_id"), F.col("id").alias("row_id"), (F.col("id") % 10).cast("double").alias("impact"))
+    place = build_report(decision, scores, top).head()["localization"]
+    assert place["listed_rows"] == 250
+    assert place["row_ids"] == [i for k in range(9, 5, -1) for i in range(k, 250, 10)]
+    write_problem_rows(top, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 250
