@@ -38,7 +38,8 @@ def number(col: str | Column) -> Column:
 
 def row_text(cols: Sequence[str]) -> Column:
     """One text per row that differs wherever a value differs: fields joined by ``|``, with ``|`` and ``\\`` escaped and NULL as ``\\N``."""
-    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1"), F.lit("\\N")) for c in cols])
+    escaped = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in cols]
+    return F.concat_ws("|", *[F.coalesce(e, F.lit("\\N")) for e in escaped])
 
 
 def melt(df: DataFrame, keys: Sequence[str], per_column: dict[str, dict[str, Column]], name: str = "col") -> DataFrame:
