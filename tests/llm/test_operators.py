@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("plumbline.llm")
 
 from plumbline.llm import decontam, langid, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors  # noqa: E402
+from plumbline.llm.common import components  # noqa: E402
 from plumbline.session import table  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -112,6 +113,26 @@ def test_near_duplicates_match_brute_force(spark):
         assert sorted(map(tuple, neardup.linked(table(spark, "/root/testdata/sf0.01", "documents"), percent).collect())) == want
 
 
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(1, 400)]
+    star = [(1700, i) for i in range(1001, 1400)]
+    links = chain + star + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)] + [(7000, 7000), (2, 1), (1, 2)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        one, two = sorted((find(a), find(b)))
+        root[two] = one
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted((x, find(x)) for x in list(root))
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 600).astype(np.uint64)
