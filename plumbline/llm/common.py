@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plumbline.operators.materialise import ensure_checkpoint_dir
 
 #: Bytes of text that one vectorised pass handles at a time; a longer text is one pass of its own.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -30,16 +30,28 @@ def extended(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(more).fields)
 
 
-def releasing(fn):
-    """``fn`` over the batches of a task; afterwards the worker, which waits for other tasks, gives free memory back."""
+def releasing(fn, encodes: bool = False):
+    """``fn`` over the batches of a task; afterwards the worker, which waits for other tasks, gives free memory back.
+
+    What the worker remembers of tokens goes before a task that does not encode.
+    """
 
     def run(batches):
+        if not encodes:
+            forget_encoders()
         yield from fn(batches)
         trim()
 
     return run
 
 
+def forget_encoders() -> None:
+    import sys
+
+    if sys.__dict__.pop("_unit_encoders", None):
+        trim()
+
+
 def trim() -> None:
     import ctypes
     import gc

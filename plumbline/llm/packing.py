@@ -65,7 +65,7 @@ def cut_pieces(documents: DataFrame, path: str, end_id: int, tokens: int) -> Dat
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(releasing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(releasing(cut, encodes=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(

@@ -197,7 +197,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
 
     tie = F.xxhash64("text")
     ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(releasing(write), BLOCKS).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(releasing(write, encodes=True), BLOCKS).write.option("compression", "none").parquet(folder)
 
 
 def crc_joined(parts) -> int:

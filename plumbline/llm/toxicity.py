@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, extended, lower_ascii, mix, releasing, segments, text_buffer, trim
+from .common import WordHasher, extended, forget_encoders, lower_ascii, mix, releasing, segments, text_buffer, trim
 
 #: Labelled rows of either label that teach the model, the first by a hash of doc_id.
 TAUGHT = 3000
@@ -94,6 +94,7 @@ def learn(documents: DataFrame, labels: DataFrame, taught: int = TAUGHT):
     rows = rows.dropDuplicates(["doc_id"]).select(F.lit(0).alias("all"), "doc_id", F.col("_toxic").alias("toxic"), F.col("text").cast("binary").alias("text"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget_encoders()
         pdf = pdf.sort_values("doc_id")
         data, offsets = text_buffer(pa.array([bytes(t) for t in pdf["text"]], pa.large_binary()))
         hasher, texts = letters(), np.zeros(1 << 23, np.uint16)
