@@ -8,6 +8,8 @@ positions of buckets come from a prefix sum over the small table of bucket sizes
 from __future__ import annotations
 
 import math
+import os
+import sys
 from collections import Counter
 from collections.abc import Sequence
 
@@ -17,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .common import number, same_key_join
 
 INF = float("inf")
+#: Stand for null and for minus infinity, so that both can be frequent values like any other.
+NULL_PLACE = -sys.float_info.max
+LEAST_PLACE = math.nextafter(NULL_PLACE, 0.0)
 
 
 def default_buckets(df: DataFrame, per: int = 1) -> int:
@@ -25,21 +30,28 @@ def default_buckets(df: DataFrame, per: int = 1) -> int:
     return max(4, math.ceil(2 * partitions / max(1, per)))
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column increases (nulls first, NaN last)."""
+def order_numbers(df: DataFrame, name: str) -> list[Column]:
+    """Doubles that, compared one after another, order rows as the column does (nulls first, NaN last).
+
+    A string counts by six bytes at a time, from where the least and the greatest string part, and last by its length.
+    """
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        digits = F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 6)), 12, "0")
-        value = F.conv(digits, 16, 10).cast("double")
+        ends = df.agg(F.min(name).alias("low"), F.max(name).alias("high"), F.max(F.octet_length(name)).alias("length")).head()
+        shared = len(os.path.commonprefix([(ends["low"] or "").encode(), (ends["high"] or "").encode()]))
+        body = F.encode(F.col(name), "utf-8")
+        at = range(shared + 1, max(shared + 1, ends["length"] or 0) + 1, 6)
+        values = [F.conv(F.rpad(F.hex(F.substring(body, i, 6)), 12, "0"), 16, 10).cast("double") for i in at]
+        values.append(F.octet_length(name).cast("double"))
     elif isinstance(kind, T.DateType):
-        value = F.datediff(F.col(name), F.lit("1970-01-01").cast("date")).cast("double")
+        values = [F.datediff(F.col(name), F.lit("1970-01-01").cast("date")).cast("double")]
     elif isinstance(kind, (T.NumericType, T.TimestampType, T.BooleanType)):
-        value = F.col(name).cast("double")
+        values = [F.col(name).cast("double")]
     elif isinstance(kind, T.TimestampNTZType):
-        value = F.col(name).cast("timestamp").cast("double")
+        values = [F.col(name).cast("timestamp").cast("double")]
     else:
         raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
-    return F.coalesce(F.when(F.isnan(value), F.lit(INF)).otherwise(value), F.lit(-INF))
+    return [F.coalesce(F.when(F.isnan(v), F.lit(INF)).otherwise(F.greatest(v, F.lit(LEAST_PLACE))), F.lit(NULL_PLACE)) for v in values]
 
 
 def quantile_edges(df: DataFrame, keys: dict[str, Column], n: int) -> dict[str, tuple[list[float], list[float]]]:
@@ -77,22 +89,22 @@ def bucketize(df: DataFrame, columns: dict[str, str], cuts: dict[str, list[float
 def with_order_bucket(df: DataFrame, order_cols: Sequence[str], out: str = "_bucket", n_buckets: int | None = None) -> DataFrame:
     """Add a bucket number that is non-decreasing in ``order_cols`` and bounded in size.
 
-    A value of the first column frequent enough to fill a bucket is cut again by the second column.
+    A value frequent enough to fill a bucket is cut again by the next of the columns' order numbers.
     """
     n = n_buckets or default_buckets(df)
-    df = df.withColumn("_k0", order_number(df, order_cols[0]))
-    cuts, heavy = quantile_edges(df, {"_k0": F.col("_k0")}, n)["_k0"]
-    df = bucketize(df, {"_k0": "_b0"}, {"_k0": cuts})
-    if heavy and len(order_cols) > 1:
-        is_heavy = F.col("_k0").isin(heavy)
-        df = df.withColumn("_k1", order_number(df, order_cols[1]))
-        inner, _ = quantile_edges(df.filter(is_heavy), {"_k1": F.col("_k1")}, n)["_k1"]
-        df = bucketize(df, {"_k1": "_b1"}, {"_k1": inner})
-        step = len(inner) + 2
-        bucket = F.col("_b0") * step + F.when(is_heavy, F.col("_b1")).otherwise(0.0)
-    else:
-        bucket = F.col("_b0")
-    return df.withColumn(out, bucket.cast("long")).drop("_k0", "_b0", "_k1", "_b1")
+    bucket, open_, most = F.lit(0).cast("long"), F.lit(True), 1
+    keys = (key for name in order_cols for key in order_numbers(df, name))
+    for key in keys:
+        cuts, heavy = quantile_edges(df.filter(open_), {"k": key}, n)["k"]
+        if most * (len(cuts) + 1) >= 1 << 62:  # no room for further digits
+            break
+        cut = bucketize(df.withColumn("_k", key), {"_k": "_b"}, {"_k": cuts})
+        bucket, most = bucket * F.lit(len(cuts) + 1) + F.when(open_, F.col("_b")).otherwise(0.0).cast("long"), most * (len(cuts) + 1)
+        df = cut.withColumn(out, bucket).withColumn("_open", open_ & F.col("_k").isin(heavy)).drop("_k", "_b")
+        bucket, open_ = F.col(out), F.col("_open")
+        if not heavy:
+            break
+    return df.withColumn(out, bucket).drop("_open")
 
 
 def with_running_sums(

@@ -74,3 +74,15 @@ def test_single_row_and_empty(spark):
     df = spark.createDataFrame([(1.0, 1)], "k double, id long")
     assert [r["row_id"] for r in with_row_index(df, ["k", "id"]).collect()] == [0]
     assert with_row_index(df.filter("id > 5"), ["k", "id"]).count() == 0
+
+
+def test_long_strings_keep_their_order_and_share_buckets(spark):
+    from plumbline.operators.ordered import with_order_bucket, with_row_index
+
+    names = [f"Customer#{i:012d}" for i in range(0, 60000, 3)] + ["Customer#000000000009"] * 20000 + [None] * 20000 + ["", "Customer#", "zz"]
+    rows = [(v, (i * 7919) % 1009, i) for i, v in enumerate(names)]
+    df = spark.createDataFrame(rows, "name string, b int, c int").repartition(8)
+    cut = with_order_bucket(df, ["name", "b", "c"])
+    assert cut.groupBy("_bucket").count().agg({"count": "max"}).head()[0] < 8000
+    got = [r.c for r in with_row_index(df, ["name", "b", "c"]).orderBy("row_id").collect()]
+    assert got == [c for _, _, c in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1], r[2]))]
