@@ -70,11 +70,6 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], max_rows: i
     return same_key_join(big, right, on) if on else big.crossJoin(right)
 
 
-def mean_of(columns: Sequence[Column]) -> Column:
-    """Arithmetic mean of several columns."""
-    return reduce(lambda a, b: a + b, columns) / F.lit(float(len(columns)))
-
-
 def clamp(c: Column, lo: float, hi: float) -> Column:
     """``c`` within bounds; NaN is NULL (Spark would order it above every bound)."""
     return F.least(F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.greatest(c, F.lit(lo))), F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.lit(hi)))

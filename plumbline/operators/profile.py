@@ -233,15 +233,6 @@ def sample_quality(stats: DataFrame, rows: int | Column, target_rows: int, keys:
     )
 
 
-def outlier_bounds(stats: DataFrame, k: float = 1.5) -> DataFrame:
-    """Quartile fences per column, and the flat 5 % flag for any value outside them."""
-    iqr = F.col("q75") - F.col("q25")
-    return stats.withColumn("low_fence", F.col("q25") - k * iqr).withColumn("high_fence", F.col("q75") + k * iqr).withColumn(
-        "outlier_flag_pct",
-        F.when((F.col("min") < F.col("low_fence")) | (F.col("max") > F.col("high_fence")), 5.0).otherwise(0.0),
-    )
-
-
 def outlier_pct(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5, ranked: DataFrame | None = None) -> DataFrame:
     """Exact share of values outside the quartile fences, from the distinct-value counts."""
     cols = numeric_columns(df, cols)

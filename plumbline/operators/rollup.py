@@ -121,11 +121,6 @@ def scale_predictions(scores: DataFrame) -> DataFrame:
     return scores.select(KEY, "dimension", F.inline(steps))
 
 
-def score_columns(scores: DataFrame) -> DataFrame:
-    """Wide view: one column per dimension."""
-    return scores.groupBy(KEY).agg(*[F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in THRESHOLDS])
-
-
 def api_view(scores: DataFrame, diversity: DataFrame) -> DataFrame:
     """Public result row: inverse risk score, level, six dimensions, eligibility."""
     part = {n: F.coalesce(F.max(F.when(F.col("dimension") == src, F.col("score"))), F.lit(0.0)) for n, src in API_DIMENSIONS.items()}
@@ -205,13 +200,10 @@ def scaling_law(results: DataFrame, sizes: Sequence[float] = tuple(TARGET_SIZES)
     low = results.groupBy(KEY).agg(F.min("performance").alias("_min"), F.max("performance").alias("_max"), F.count(F.lit(1)).alias("runs"))
     fit_for = low.filter((F.col("runs") >= min_runs) & (F.col("_max") > F.col("_min")))
     span = F.col("_max") - F.col("_min")
-    at = F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("_g")
     # offsets from just under the worst run down to three spans below it
-    candidates = fit_for.select(KEY, "runs", "_min", span.alias("_span"), at).withColumn(
-        "c", F.col("_min") - F.col("_span") * 3.0 * F.col("_g") / float(grid)
-    )
-    per_run = results.groupBy(KEY).agg(F.collect_list(F.struct("model_size", "performance")).alias("_runs"))
-    points = candidates.join(per_run, KEY).select(KEY, "runs", "c", F.inline("_runs"))
+    offset = F.transform(F.sequence(F.lit(1), F.lit(grid)), lambda g: F.col("_min") - F.col("_span") * 3.0 * g / float(grid))
+    ranges = fit_for.select(KEY, "runs", "_min", span.alias("_span"))
+    points = results.select(KEY, "model_size", "performance").join(ranges, KEY).select(KEY, "runs", "model_size", "performance", F.explode(offset).alias("c"))
     x, y = F.ln("model_size"), F.ln(F.col("performance") - F.col("c"))
     fits = points.groupBy(KEY, "runs", "c").agg(
         F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("_log_a"), F.regr_r2(y, x).alias("r2")

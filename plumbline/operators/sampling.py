@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import lookup_join, number, numeric_columns, row_text, same_key_join
-from .ordered import default_buckets, quantiles, ranked_values
+from .ordered import default_buckets, quantiles
 
 
 def hash_key(id_cols: Sequence[str], seed: int = 42) -> Column:
@@ -181,9 +181,3 @@ def diversity_sample(
     return base.unionByName(
         extra.select(*df.columns, F.lit("rare").alias("origin"))
     ).unionByName(extreme.select(*df.columns, F.lit("outlier").alias("origin")))
-
-
-def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct values with their share per column."""
-    ranked = ranked_values(df, cols)
-    return ranked.select("col", "value", (F.col("n") / F.col("tot_n")).alias("share"))

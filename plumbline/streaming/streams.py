@@ -16,7 +16,7 @@ from ..operators.materialise import ensure_checkpoint_dir
 WATERMARK = "10 minutes"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", watermark_note: str = "") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain a stream with what is available now and return the sink as a table.
 
     ``append`` writes files; other modes replace a snapshot per batch. Both live next to the stream's
