@@ -8,18 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import melt, number, row_text, spread, wide_aggregate
+from .common import melt, number, row_text, wide_aggregate
 from .correlation import correlation_matrix
 from .histogram import binned, column_ranges
 from .materialise import materialise
+from .neighbours import with_neighbour_distance
 from .ordered import quantiles, with_previous, with_row_index, with_running_sums
-from .sampling import random_cap
 
 # Weights, limits and regularisation of the impact score.
 WEIGHTS = (0.4, 0.3, 0.3)
 IMPACT_THRESHOLD = 0.8
 TOP_ROWS = 1000
-SAMPLE_ROWS = 1000
 NEIGHBOURS = 20
 EPSILON = 1e-6
 FAILED_BELOW = 65.0
@@ -94,43 +93,13 @@ def max_abs_z(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def with_density(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str], out: str = "density") -> DataFrame:
-    """Mean distance to the nearest rows of a fixed sample, as an anomaly score before scaling.
+    """Mean distance to the nearest other rows of the whole table, as an anomaly score before scaling.
 
-    The sample is at most 1000 rows and travels with the task; a row is never its own neighbour.
+    A row is never its own neighbour, also where ids repeat; missing values count as zero.
     """
-    ids, names = list(id_cols), list(cols)
-    picked = random_cap(df.select(*dict.fromkeys([*ids, *names])), SAMPLE_ROWS, ids)
-    sample = picked.select(
-        row_text(ids).alias("_id"), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in names]
-    ).toPandas()
-    points = sample[names].to_numpy(dtype=float)
-    place = {v: i for i, v in enumerate(sample["_id"])}
-    n = df.count() if len(sample) == SAMPLE_ROWS else len(sample)
-    k = max(1, min(NEIGHBOURS, n // 10, len(sample) - 1))
-    norms = (points * points).sum(axis=1)
-
-    def score(batches):
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            result = np.empty(len(x))
-            own = pdf["_id"].map(place).to_numpy(dtype=float)
-            for start in range(0, len(x), 2048):  # bounds the distance block, not the rows scored
-                part = x[start : start + 2048]
-                d2 = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2.0 * part @ points.T
-                mine = own[start : start + 2048]
-                hit = ~np.isnan(mine)
-                d2[np.flatnonzero(hit), mine[hit].astype(int)] = np.inf
-                near = np.partition(d2, k - 1, axis=1)[:, :k]
-                mean = np.sqrt(np.clip(near, 0, None)).mean(axis=1)
-                result[start : start + 2048] = 1.0 / (1.0 / (mean + EPSILON) + EPSILON)
-            pdf[out] = result
-            yield pdf[[*carried, out]]
-
-    df = spread(df)
-    carried = df.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ready = df.withColumn("_id", row_text(ids))
-    return ready.mapInPandas(score, f"{fields}, {out} double")
+    n = df.count()
+    scored = with_neighbour_distance(df, cols, max(1, min(NEIGHBOURS, n // 10, n - 1)), out)
+    return scored.withColumn(out, 1.0 / (1.0 / (F.col(out) + EPSILON) + EPSILON))
 
 
 def density_anomaly(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str]) -> DataFrame:

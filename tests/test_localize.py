@@ -60,3 +60,27 @@ def test_ablation_confirms_the_bad_region(spark):
     bad = pd.DataFrame({"side": "syn", "region": 2, "x": np.full(300, 2.5)})
     got = {r["region"]: r for r in N.ablate(spark.createDataFrame(pd.concat([orig, good, bad])), ["x"]).collect()}
     assert got[2]["confirmed"] and not got[1]["confirmed"]
+
+
+def test_density_counts_a_small_dense_group_and_copies(spark, monkeypatch):
+    from plumbline.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 200)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUESTIONS", 50)
+    monkeypatch.setattr(neighbours, "HOT_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 3)) * [100.0, 10.0, 1.0]
+    x[:30] = [900.0, 0.0, 0.0] + rng.normal(size=(30, 3)) * 0.01  # too few to be met by a sample of 1000
+    x[30:400] = x[30]
+    x[400:410] = x[400]
+    pdf = pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)))
+    pdf.loc[3999, "b"] = np.nan
+    got = N.with_density(spark.createDataFrame(pdf).repartition(5), list("abc"), ["id"]).toPandas().sort_values("id")
+    x = np.nan_to_num(pdf[list("abc")].to_numpy())
+    near = np.empty(len(x))
+    for start in range(0, len(x), 500):
+        d = np.sqrt(((x[start : start + 500, None] - x[None]) ** 2).sum(-1))
+        near[start : start + 500] = np.sort(d, axis=1)[:, 1:21].mean(axis=1)
+    assert list(got["id"]) == list(range(len(x)))
+    np.testing.assert_allclose(got["density"], 1 / (1 / (near + 1e-6) + 1e-6), rtol=1e-9)
