@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import lookup_join
 from .compare import KEY, weighted_score
 from .ordered import with_row_index
 from .pairs import finite
@@ -23,28 +22,22 @@ DEFAULT_BLOCK = 65_536
 def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block: int = DEFAULT_BLOCK, normalise: bool = False) -> DataFrame:
     """|rfft|^2 per column: validation_id, side, col, freq, power.
 
-    Rows are numbered per side, cut into blocks of bounded length and transformed block by block; powers are
-    averaged over the blocks. A side no longer than one block gives the plain spectrum. The last block is
-    padded with zeros, and missing values count as zero. ``normalise`` divides by the block length, so the scale does not depend on it.
+    Rows are numbered per side, cut into blocks of ``block`` rows and transformed block by block; powers are averaged over
+    the blocks. The length is the same for sides of every size: a last block, or a side, shorter than it is padded with
+    zeros, and missing values count as zero. ``normalise`` divides by the rows of the blocks, padding left out, so the
+    scale depends neither on the block length nor on the number of rows.
     """
     needed = [KEY, "side", *dict.fromkeys([*order_cols, *cols])]
     indexed = with_row_index(pair.select(*needed), order_cols, "_row", [KEY, "side"])
-    sizes = pair.groupBy(KEY, "side").agg(F.count(F.lit(1)).alias("_n"))
-    longest = sizes.groupBy(KEY).agg(F.least(F.max("_n"), F.lit(block)).alias("_len"))
-    placed = lookup_join(indexed, longest, [KEY])
-    placed = placed.select(
-        KEY, "side", (F.col("_row") / F.col("_len")).cast("long").alias("_block"),
-        (F.col("_row") % F.col("_len")).cast("int").alias("_at"), "_len", *[finite(F.col(c)).alias(c) for c in cols],
+    placed = indexed.select(
+        KEY, "side", (F.col("_row") / block).cast("long").alias("_block"), (F.col("_row") % block).cast("int").alias("_at"), *[finite(F.col(c)).alias(c) for c in cols],
     )
     names = list(cols)
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        length = int(pdf["_len"].iloc[0])
-        x = np.zeros((length, len(names)))
+        x = np.zeros((block, len(names)))
         x[pdf["_at"].to_numpy()] = pdf[names].to_numpy(dtype=float)
         power = np.abs(np.fft.rfft(x, axis=0)) ** 2
-        if normalise:
-            power /= length
         freqs, d = power.shape
         return pd.DataFrame({
             KEY: np.repeat(pdf[KEY].iloc[0], freqs * d),
@@ -52,13 +45,15 @@ def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block:
             "col": np.repeat(names, freqs),
             "freq": np.tile(np.arange(freqs), d),
             "power": power.T.ravel(),
+            "_rows": len(pdf),
         })
 
     kind = pair.schema[KEY].dataType.simpleString()
     parts = placed.groupBy(KEY, "side", "_block").applyInPandas(
-        transform, f"{KEY} {kind}, side string, col string, freq long, power double"
+        transform, f"{KEY} {kind}, side string, col string, freq long, power double, _rows long"
     )
-    return parts.groupBy(KEY, "side", "col", "freq").agg(F.avg("power").alias("power"))
+    power = F.sum("power") / F.sum("_rows") if normalise else F.avg("power")
+    return parts.groupBy(KEY, "side", "col", "freq").agg(power.alias("power"))
 
 
 def psd_sides(spectrum: DataFrame) -> DataFrame:

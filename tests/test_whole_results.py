@@ -68,6 +68,19 @@ def test_one_null_counts_as_zero_in_a_spectrum(spark):
     np.testing.assert_allclose(with_null, spectrum(0.0))
 
 
+def test_spectrum_has_one_length_at_every_size(spark):
+    rng = np.random.default_rng(7)
+    values = {"short": rng.normal(size=24), "even": rng.normal(size=64), "long": rng.normal(size=150)}
+    rows = [(v, "syn", i, float(y)) for v, x in values.items() for i, y in enumerate(x)]
+    pair = spark.createDataFrame(rows, "validation_id string, side string, id long, x double")
+    for normalise in (False, True):
+        got = psd(pair, ["x"], ["id"], 64, normalise).orderBy("freq").toPandas()
+        for v, x in values.items():
+            blocks = [np.pad(x[i : i + 64], (0, 64 - len(x[i : i + 64]))) for i in range(0, len(x), 64)]
+            power = np.sum([np.abs(np.fft.rfft(b)) ** 2 for b in blocks], axis=0)
+            np.testing.assert_allclose(got[got["validation_id"] == v]["power"], power / (len(x) if normalise else len(blocks)))
+
+
 def test_anderson_darling_by_one_formula():
     for n in (4, 7, 50):
         g = sum(1 / ((n - i) * j) for i in range(1, n) for j in range(i + 1, n))
