@@ -157,7 +157,7 @@ def _(spark, d):
 
 @query("cluster_signatures")
 def _(spark, d):
-    return O.cluster_signatures(library(spark, d))
+    return O.cluster_signatures(library(spark, d), 10)
 
 
 @query("upsert_signatures", f"""SELECT coalesce(l.signature_id, n.id) AS signature_id, coalesce(n.s, l.collapse_score)::DOUBLE AS collapse_score,

@@ -63,13 +63,22 @@ def dot(a: Column, b: Column) -> Column:
 def signature_vector(df: DataFrame, scores: str = "dimension_scores", stats: str = "stats", out: str = "vector") -> DataFrame:
     """Raw features from a scores map, a map of statistic arrays, skewness and kurtosis: 128 slots, unit length.
 
-    A missing dimension counts 50; every statistic owns eight slots whether present or not.
+    A missing dimension counts 50; every statistic owns eight slots whether present or not. Slot i holds the mean over the
+    columns i, i + 8, i + 16, ..., so up to eight columns stand for themselves and every further one counts as well.
     """
+
+    def folded(values: Column) -> Column:
+        def slot(i: Column) -> Column:
+            own = F.filter(values, lambda x, at: at % SLOTS == i)
+            return F.when(F.size(own) == 0, 0.0).otherwise(F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot)
+
     names = F.array(*[F.lit(d) for d in DIMENSIONS])
     parts = [F.transform(names, lambda d: F.coalesce(F.try_element_at(scores, d), F.lit(50.0)) / 100.0)]
     for s in STATISTICS:
         values = F.coalesce(F.try_element_at(stats, F.lit(s)), F.array().cast("array<double>"))
-        parts.append(F.slice(F.concat(values, F.array_repeat(F.lit(0.0), SLOTS)), 1, SLOTS))
+        parts.append(folded(values))
     parts.append(F.array(F.coalesce(F.col("skewness"), F.lit(0.0)), F.coalesce(F.col("kurtosis"), F.lit(0.0))))
     used = len(DIMENSIONS) + len(STATISTICS) * SLOTS + 2
     parts.append(F.array_repeat(F.lit(0.0), RAW_LENGTH - used))
@@ -356,12 +365,10 @@ def match_advice(assessed: DataFrame) -> DataFrame:
 # --- upkeep ---------------------------------------------------------------------------------------------
 
 
-def cluster_signatures(library: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """K-means cluster of every signature and its distance to the centre; fewer than ten signatures are left alone."""
-    n = library.count()
-    if n < 10:
+def cluster_signatures(library: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """K-means cluster, one of ``k`` (at least 2), of every signature and its distance to the centre."""
+    if library.isEmpty():
         return library.select("signature_id", F.lit(-1).alias("cluster_id"), F.lit(0.0).alias("anomaly_score"))
-    k = k or min(10, n // 10)
     ready = library.select("signature_id", "vector", array_to_vector("vector").alias("features"))
     model = KMeans(k=k, maxIter=20, seed=seed).fit(ready)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])

@@ -69,6 +69,27 @@ def test_vector_layout(spark):
     assert np.allclose(v, raw / np.linalg.norm(raw))
 
 
+def test_columns_after_the_eighth_count(spark):
+    values = [float(i * i) for i in range(1, 20)]
+    rows = [({}, {"mean": values}), ({}, {"mean": values[:-1] + [7.0]}), ({}, {"mean": values[:8] + [-1.0] + values[9:]})]
+    df = spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], "dimension_scores map<string,double>, stats map<string,array<double>>, skewness double, kurtosis double")
+    got = [np.array(r["vector"]) for r in O.signature_vector(df).collect()]
+    raw = np.zeros(128)
+    raw[:8] = 0.5
+    raw[8:16] = [np.mean(values[i::8]) for i in range(8)]
+    assert np.allclose(got[0], raw / np.linalg.norm(raw))
+    assert not np.allclose(got[0], got[1]) and not np.allclose(got[0], got[2])
+
+
+def test_a_small_library_is_clustered_too(spark):
+    x = [[1.0, 0.0], [0.99, 0.01], [0.0, 1.0], [0.01, 0.99]]
+    lib = spark.createDataFrame(list(enumerate(x)), "signature_id long, vector array<double>")
+    got = {r["signature_id"]: r["cluster_id"] for r in O.cluster_signatures(lib, 2).collect()}
+    assert got[0] == got[1] != got[2] == got[3] and min(got.values()) >= 0
+    assert O.cluster_signatures(lib, 10).filter("cluster_id >= 0").count() == 4
+    assert O.cluster_signatures(lib.limit(0), 2).count() == 0
+
+
 def test_accuracy_feedback_is_a_moving_average(spark):
     lib = spark.createDataFrame([(1, 0.5, 2), (2, 0.9, 0)], "signature_id long, prediction_accuracy double, usage_count long")
     values = [0.2, 0.9, 0.4, 0.7, 1.0]
