@@ -18,9 +18,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-# Weak parts: alone they prove nothing.
+# Weak parts: alone they prove nothing. A secret has no greatest length; its run is taken at once, so long runs are scanned once.
 WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?key(?:_?id)?)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.@-]{3,})""", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,64}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)", re.IGNORECASE | re.ASCII)
 #: A scope is a paragraph; within it two parts belong together up to this many code points apart.
 REACH = 400

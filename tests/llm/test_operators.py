@@ -150,6 +150,21 @@ def test_secrets():
     assert not secrets.linked_spans("key x7Gh29Kd0qLm48Zt", []) and not secrets.linked_spans(pair.replace("\n", "\n\n"), [])[1:]
 
 
+def test_long_secrets(spark):
+    import base64
+    import random
+
+    for size in (48, 51, 64, 3000):
+        key = base64.b64encode(random.Random(size).randbytes(size)).decode()
+        text = f"account: devstore1\nhttps://devstore1.example.net/files\nAccountKey={key}"
+        found = sorted(secrets.linked_spans(text, secrets.base_spans(text)))
+        assert [(kind, text[a:b]) for a, _, b, kind in found] == [
+            ("linked_id", "devstore1"), ("linked_endpoint", "https://devstore1.example.net/files"), ("linked_secret", key)]
+        masked = secrets.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()["text"]
+        assert masked == "account: [SECRET]\n[SECRET]\nAccountKey=[SECRET]"
+        assert not secrets.linked_spans(f"see {key} here", [])
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 20))
