@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.common import same_key_join
+from ..operators.ordered import with_row_index
 from .common import WordHasher, components, lower_ascii, mix, releasing, segments, stored, text_buffer
 
 #: Registers of a sketch, base of their exponential scale and rate of the exponential hash values.
@@ -283,6 +285,23 @@ def linked(documents: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The documents that stay when one of each near-duplicate group is kept, with their own columns."""
-    gone = linked(documents, percent, size).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents.doc_id == F.col("_gone"), "left_anti")
+    """The documents that stay when one of each near-duplicate group is kept, with their own columns.
+
+    Of rows that repeat a doc_id (also a null one) with the same text one stays; rows of one doc_id with different texts are
+    one document. Each row without doc_id is a document of its own, under a number that no doc_id has.
+    """
+    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", F.sha2("text", 256)))
+    again = rows.groupBy("doc_id", "_text").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    copies = same_key_join(rows.select("doc_id", "_text", "_row"), again, ["doc_id", "_text"]).filter("_row != _first").select("_row")
+    once = rows.join(stored(copies), "_row", "left_anti")
+    found = once.agg(F.count_if(F.col("doc_id").isNull()).alias("n"), F.min("doc_id").cast("long").alias("low"), F.max("doc_id").cast("long").alias("high")).head()
+    named = once.withColumn("_id", F.col("doc_id").cast("long"))
+    if found["n"]:
+        low, high = found["low"] or 0, found["high"] or 0
+        start = high + 1 if high + found["n"] < 2**63 else low - found["n"]
+        if start < -(2**63):
+            raise ValueError("no numbers are left for the rows without doc_id")
+        numbers = stored(with_row_index(once.filter("doc_id IS NULL").select("_row"), ["_row"], "_at").select("_row", (F.lit(start) + F.col("_at")).alias("_made")))
+        named = once.join(numbers, "_row", "left").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), "_made"))
+    gone = linked(named.select(F.col("_id").alias("doc_id"), "text"), percent, size).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return named.join(gone, named["_id"] == F.col("_gone"), "left_anti").select(*documents.columns)

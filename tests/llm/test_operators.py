@@ -142,6 +142,15 @@ def test_sketch_estimates_and_merges():
     assert abs(neardup.estimate([(x > y).sum()], [(x < y).sum()], [500], [500])[0] - 400 / 600) < 0.15
 
 
+def test_one_row_of_repeated_and_nameless_documents_stays(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(3).replace("w3x59", "other")
+    rows = [(1, text(1))] * 3 + [(None, text(2))] * 3 + [(5, text(3)), (None, near), (7, text(4)), (7, text(5)), (None, None), (None, None), (None, text(6))]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, text(1)), (None, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (None, None), (None, text(6))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_secrets():
     text = 'Password = "abcdef" secret: token: abcdefgh\nAKIA' + "Z" * 16 + " " + "0f" * 12
     assert secrets.listed(secrets.base_spans(text)) == "assign:0:18,access:44:64,hex:65:89"
