@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import decontam, langid, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors
+from . import centroids, decontam, langid, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -62,3 +62,11 @@ def op8_pii_surrogates(spark, folder):
 @query
 def op9_suffix_dedup(spark, folder):
     return suffixes.repeat_digest(table(spark, folder, "documents"))
+
+
+@query
+def op11_centroid_clusters(spark, folder):
+    return centroids.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+SQL["op11_centroid_clusters"] = centroids.cluster_sql()
