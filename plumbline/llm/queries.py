@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.session import table
 
-from . import centroids, decontam, langid, mixing, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors
+from . import centroids, decontam, dialogs, langid, mixing, neardup, packing, pii, secrets, suffixes, tokens, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -75,3 +75,8 @@ SQL["op11_centroid_clusters"] = centroids.cluster_sql()
 @query
 def op12_source_mix(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    return dialogs.damage_and_repair(table(spark, folder, "conversations"))
