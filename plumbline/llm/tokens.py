@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import zlib
 
@@ -13,10 +15,19 @@ from .common import WordHasher, lower_ascii, releasing, segments, text_buffer
 
 #: Ids in one block of the file format.
 BLOCK = 1 << 16
-#: Distinct text units whose ids a worker remembers; beyond that it starts again. This bounds memory and changes no result.
-REMEMBERED = 1 << 18
-#: Units given to the library at once.
-LEARNED = 4096
+#: Bytes of remembered units and their ids a worker may hold; beyond that it drops those it has not met for longest.
+#: This bounds memory and changes no result.
+REMEMBERED = 48 << 20
+#: Units given to the library in one text.
+JOINED = 64
+#: Texts given to the library at once.
+LEARNED = 64
+
+# How a by-unit tokenizer cuts words, and the letters whose lower case and normal form are single letters too.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f"
+PLAIN = re.compile(f"[!-;=-~{LETTERS}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -25,19 +36,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def cuts_by_unit(tokenizer) -> bool:
+    """Does a text's tokenization follow from that of its units? So it is if white space is dropped, words are cut by
+    character class alone, and the last token of every word is marked."""
+    said = json.loads(tokenizer.to_str())
+    parts = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+    return (
+        [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PRETOKENS} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+        and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"] and set(kinds) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds
+        and said["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class UnitEncoder:
     """Ids of many texts at once, by the tokenizers library.
 
-    For tokenizers that drop white space and cut words by character class (``by_unit``), a text's ids are the ids of its
+    For tokenizers that drop white space and cut words by character class (``cuts_by_unit``), a text's ids are the ids of its
     units in order: runs without white space, also cut between an ASCII letter and another ASCII character, unless the run
-    holds an apostrophe or "<" (contractions, special tokens). Each distinct unit is encoded once per worker and the rest
-    is array work. Other tokenizers encode whole texts.
+    holds an apostrophe or "<" (contractions, special tokens). Each distinct unit is encoded once while it is remembered and
+    the rest is array work. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, by_unit: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_unit = Tokenizer.from_file(path), by_unit
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_unit = cuts_by_unit(self.tokenizer)
         kind = np.full(256, 3, np.int8)
         kind[:128] = 2
         kind[[9, 10, 11, 12, 13, 32]] = 0
@@ -45,34 +70,76 @@ class UnitEncoder:
         self.kind = kind
         self.hasher = WordHasher(kind > 0, np.arange(256))
         self.lower = lower_ascii()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.count, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-
-    def learn(self, hashes: list[int], units: list[str]) -> None:
-        found = []
-        for k in range(0, len(units), LEARNED):  # the library's results are large
-            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(units[k : k + LEARNED], add_special_tokens=False)]
-        n, flat = len(self.known), np.concatenate(found)
-        while n + len(found) > len(self.first):
-            self.first, self.count = np.concatenate([self.first] * 2), np.concatenate([self.count] * 2)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids] * 2)
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.first[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.count[n : n + len(found)] = lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(found))))
+        self.clock = 0
+        self.hashes, self.first, self.count, self.met, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        if self.by_unit:
+            words = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends_word = np.zeros(max(words.values()) + 1, bool)
+            self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def given(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for k in range(0, len(texts), LEARNED):  # the library's results are large
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + LEARNED], add_special_tokens=False)]
+        return out
+
+    def unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after another, number of ids of each).
+
+        Units of which the number of words is certain go to the library many in one text; each word's last id says where it
+        ends. Where the number of words is not as expected, and for other units, each is a text.
+        """
+        words = np.array([1 if u.isascii() and u.isalpha() else len(PIECES.findall(u.lower())) if PLAIN.fullmatch(u) else 0 for u in units], np.int64)
+        counts, parts, where = np.zeros(len(units), np.int64), [], []
+        sure, alone = np.flatnonzero(words), [np.flatnonzero(words == 0)]
+        groups = [sure[k : k + JOINED] for k in range(0, len(sure), JOINED)]
+        for own, ids in zip(groups, self.given([" ".join([units[i] for i in own.tolist()]) for own in groups])):
+            last = np.flatnonzero(self.ends_word[ids])
+            upto = np.cumsum(words[own])
+            if len(last) == upto[-1] and last[-1] == len(ids) - 1:
+                counts[own] = np.diff(last[upto - 1], prepend=-1)
+                parts.append(ids)
+                where.append(own)
+            else:
+                alone.append(own)
+        alone = np.concatenate(alone)
+        for i, ids in zip(alone.tolist(), self.given([units[i] for i in alone.tolist()])):
+            counts[i] = len(ids)
+            parts.append(ids)
+        where.append(alone)
+        order = np.concatenate(where)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        start = np.zeros(len(units), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        at = np.cumsum(counts) - counts
+        return flat[np.repeat(start - at, counts) + np.arange(int(counts.sum()))], counts
+
+    def learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Remember units; both arguments in ascending order of hashes, none of which is known."""
+        ids, counts = self.unit_ids(units)
+        at = np.searchsorted(self.hashes, hashes)
+        first = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids])
+        self.hashes, self.first, self.count = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, counts)
+        self.met = np.insert(self.met, at, self.clock)
+
+    def drop_old(self) -> None:
+        """Once too large, keep what was met last: half of it, and all that the present texts need."""
+        if 24 * len(self.hashes) + 4 * len(self.ids) <= REMEMBERED:
+            return
+        keep = self.met >= max(1, int(np.median(self.met)))
+        if keep.all():
+            keep = self.met == self.clock
+        counts = self.count[keep].astype(np.int64)
+        shift = np.cumsum(counts) - counts
+        self.ids = self.ids[np.repeat(self.first[keep] - shift, counts) + np.arange(int(counts.sum()))]
+        self.hashes, self.first, self.count, self.met = self.hashes[keep], shift, self.count[keep], self.met[keep]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
         n = len(offsets) - 1
         if not self.by_unit:
-            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = self.given([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])])
             return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], np.int64)
         starts, ends, _ = self.hasher.spans(data, offsets)
         if not len(starts):
@@ -92,33 +159,38 @@ class UnitEncoder:
         at_start = np.isin(inner, starts, assume_unique=True)
         starts, ends = np.sort(np.concatenate([starts, inner[~at_start]])), np.sort(np.concatenate([ends, inner[~at_start]]))
         hashes, where, back = np.unique(self.hasher.hashes(low, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) + len(keys) > REMEMBERED:
-            self.forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        self.clock += 1
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            near = np.minimum(place, len(self.hashes) - 1)
+            known = self.hashes[near] == hashes
+            self.met[near[known]] = self.clock
+        if not known.all():
             body = low.tobytes()
-            self.learn([keys[i] for i in new], [body[starts[j] : ends[j]].decode("utf-8", "replace") for j in where[new].tolist()])
-        unit = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
-        counts = self.count[unit]
+            fresh = where[~known]
+            self.learn(hashes[~known], [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
+            self.drop_old()
+        unit = np.searchsorted(self.hashes, hashes)[back]
+        counts = self.count[unit].astype(np.int64)
         shift = np.cumsum(counts) - counts
         ids = self.ids[np.repeat(self.first[unit] - shift, counts) + np.arange(int(counts.sum()))]
         text = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(text, counts, n).astype(np.int64)
 
 
-def encoder(path: str, by_unit: bool = True) -> UnitEncoder:
+def encoder(path: str) -> UnitEncoder:
     """One encoder per worker process; it hangs on ``sys`` because functions travel to workers by value."""
     kept = sys.__dict__.setdefault("_unit_encoders", {})
-    if (path, by_unit) not in kept:
-        kept[path, by_unit] = UnitEncoder(path, by_unit)
-    return kept[path, by_unit]
+    if path not in kept:
+        kept[path] = UnitEncoder(path)
+    return kept[path]
 
 
-def encoded_texts(column: pa.Array, path: str, end_id: int, by_unit: bool = True):
+def encoded_texts(column: pa.Array, path: str, end_id: int):
     """Per row: an array of ids with ``end_id`` at the end."""
     data, offsets = text_buffer(column)
-    encode = encoder(path, by_unit).encode
+    encode = encoder(path).encode
     for lo, hi in segments(offsets):
         ids, counts = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         last = np.cumsum(counts)
@@ -152,7 +224,7 @@ def unpack(body: bytes, bits: int, first: int = 0, count: int | None = None) ->
 BLOCKS = "part long, block long, first_id long, n_ids long, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
 
 
-def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int = 2, by_unit: bool = True, vocabulary: int | None = None) -> None:
+def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int = 2, vocabulary: int | None = None) -> None:
     """Write the ids of every text, each text followed by ``end_id``, in ascending ``doc_id`` order.
 
     The files are Parquet rows of blocks: ``part`` (a range of doc_ids; parts ascend), ``block`` and ``first_id`` (number of
@@ -186,7 +258,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
             waiting, size = [ids[cut:]], len(ids) - cut
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(batch.column(1), path, end_id, by_unit)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(batch.column(1), path, end_id)):
                 docs.append((doc_id, at, len(ids)))
                 at += len(ids)
                 waiting.append(ids)
