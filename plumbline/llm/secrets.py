@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended, releasing
+from .common import extended, releasing, segments, text_buffer
 
 # The three base kinds with the least length of what must be long.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -21,7 +22,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 # Weak parts: alone they prove nothing. A secret has no greatest length; its run is taken at once, so long runs are scanned once.
 WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?key(?:_?id)?)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.@-]{3,})""", re.IGNORECASE | re.ASCII)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)", re.IGNORECASE | re.ASCII)
+# A host name is taken at once and only from its first label, so that runs of labels are scanned once.
+ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|(?<![a-z0-9_-])(?<![a-z0-9_-]\.)[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b)", re.IGNORECASE | re.ASCII)
 #: A scope is a paragraph; within it two parts belong together up to this many code points apart.
 REACH = 400
 #: Bits per character that a weak secret must have.
@@ -100,26 +102,39 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
 
 
+def findings(text: str) -> tuple[list, list]:
+    """(base findings, all findings) of a text, each as sorted (start, rank of the kind, end, kind)."""
+    base = base_spans(text)
+    return base, sorted(base + linked_spans(text, base))
+
+
+def by_size(batch: pa.RecordBatch, where: int):
+    """The batch in slices of about 1 MB of text, so that memory does not grow with the texts of a batch."""
+    _, offsets = text_buffer(batch.column(where))
+    for first, last in segments(offsets):
+        yield batch.slice(first, last - first)
+
+
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """Findings in every whole text; adds n_assign, n_access, n_hex, n_linked, base_spans and spans to the rows.
 
     Spans are "kind:start:end" in code points, end exclusive, by start and then kind (assign, access, hex, linked_id,
     linked_secret, linked_endpoint), joined by commas. Null text is empty and has none. Repeated rows are answered each by
-    itself; a column with one of the added names is replaced. Texts are only read where they lie, nothing is shuffled.
+    itself; a column with one of the added names is replaced; an empty table gives no rows. Every pattern takes time in
+    proportion to the text, however long its runs are. Texts are only read where they lie, nothing is shuffled.
     """
     added = ["n_assign", "n_access", "n_hex", "n_linked", "base_spans", "spans"]
     documents = documents.drop(*added)
     where = documents.columns.index("text")
 
     def scan(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, where)):
             out = {k: [] for k in added}
             for text in batch.column(where).to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                linked = linked_spans(text, base)
-                kinds = Counter(kind for *_, kind in base)
-                for k, v in zip(added, (kinds["assign"], kinds["access"], kinds["hex"], len(linked), listed(base), listed(sorted(base + linked)))):
+                base, every = findings(text or "")
+                kinds = Counter(kind for *_, kind in every)
+                linked = sum(n for kind, n in kinds.items() if kind.startswith("linked"))
+                for k, v in zip(added, (kinds["assign"], kinds["access"], kinds["hex"], linked, listed(base), listed(every))):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], names=[*batch.schema.names, *added])
 
@@ -127,33 +142,45 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
 
 
 def secret_digest(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans; the hash is of ``scan_secrets``' base_spans.
+
+    Null and empty texts, and texts without findings, have zeros and the hash of nothing; null doc_ids and repeated rows are
+    answered each by itself.
+    """
     found = scan_secrets(documents.select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
 
 
+def masked(text: str, spans: list, mask: str) -> str:
+    out, done = [], 0
+    for a, _, b, _ in spans:
+        if a >= done:
+            out += [text[done:a], mask]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
 def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Every document, with each run of found spans replaced by ``mask``; n_chars, where there is one, follows the text."""
-    found = scan_secrets(documents)
-
-    @F.pandas_udf("string")
-    def masked(text, spans):
-        import pandas as pd
-
-        def one(t, s):
-            if not s:
-                return t
-            out, done = [], 0
-            for a, b in sorted(tuple(map(int, x.rsplit(":", 2)[1:])) for x in s.split(",")):
-                if a >= done:
-                    out += [t[done:a], mask]
-                done = max(done, b)
-            return "".join([*out, t[done:]])
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
-
-    redacted = found.withColumn("text", F.when(F.col("spans") == "", F.col("text")).otherwise(masked("text", "spans")))
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        redacted = redacted.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return redacted.select(*documents.columns)
+    """Every document, with each run of found spans replaced by ``mask``; n_chars, where there is one, follows the text.
+
+    Texts without findings, null texts among them, stay as they are. Scan and mask are one pass over the text.
+    """
+    where = documents.columns.index("text")
+    sized = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+
+    def redact(batches):
+        for batch in (part for whole in batches for part in by_size(whole, where)):
+            texts, columns, changed = batch.column(where).to_pylist(), list(batch.columns), []
+            for i, text in enumerate(texts):
+                spans = findings(text)[1] if text else []
+                changed.append(bool(spans))
+                if spans:
+                    texts[i] = masked(text, spans, mask)
+            if any(changed):
+                columns[where] = pa.array(texts, batch.schema.field(where).type)
+                if sized is not None:
+                    lengths = pa.array([len(t) if c else None for t, c in zip(texts, changed)], pa.int64()).cast(batch.schema.field(sized).type)
+                    columns[sized] = pc.if_else(pa.array(changed), lengths, columns[sized])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return documents.mapInArrow(releasing(redact), documents.schema)

@@ -49,7 +49,8 @@ def vector_keys(embeddings: DataFrame) -> DataFrame:
                     v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
                     if np.isfinite(v).all() and v.any():
                         body = v.tobytes()
-                        name = hashlib.blake2b(body, digest_size=16, key=str(label).encode()[:64]).digest()
+                        of_label = str(label).encode()
+                        name = hashlib.blake2b(b"%d:%b%b" % (len(of_label), of_label, body), digest_size=16).digest()
                 bodies.append(body)
                 names.append(name)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else str(x) for x in labels]), pa.array(bodies, pa.binary()), pa.array(names, pa.binary())], names=["vec_id", "label", "body", "key"])
