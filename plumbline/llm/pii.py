@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-# What counts as personal data. Possessive quantifiers keep the search linear.
+# What counts as personal data. Possessive quantifiers keep the search linear; what repeats without bound is a
+# class of characters, never a group, because the engine follows groups by recursion.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TITLES_M, TITLES_F = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Sir|Господин", r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|Госпожа"
+#: A word of a name: McDonald, O'Neil, Jean-Luc.
+NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++){0,4}"
+#: What stands before the words of a name and stays: its title and initials.
+BEFORE_NAME = rf"^(?:{TITLES_M}|{TITLES_F}) (?:\p{{Lu}}\. ){{0,2}}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]+(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z+.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z]|[.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_M}|{TITLES_F}) \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_M}|{TITLES_F}) (?:\p{{Lu}}\. ){{0,2}}(?:{NAME_WORD} ){{0,2}}{NAME_WORD}(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of this holds no match, so most texts are passed over quickly.
@@ -37,12 +42,13 @@ def entities(text: Column) -> Column:
 
 
 def words_of(entity: Column) -> Column:
-    """(kind, word) of what an entity is replaced by: itself in canonical form; of a name, first name (by gender) and surname."""
+    """(kind, word) of what an entity is replaced by: itself in canonical form; of a name its words, the last as surname, the
+    others as first names (by gender)."""
     kind = kind_of(entity)
     part = lambda k, w: F.struct(k.alias("kind"), w.alias("word"))
-    bare = F.regexp_replace(F.lower(F.regexp_replace(entity, rf"^(?:{TITLES_M}|{TITLES_F}) ", "")), " +", " ")
     first = F.when(entity.rlike(rf"^(?:{TITLES_F}) "), "first_f").otherwise("first_m")
-    name = F.when(bare.contains(" "), F.array(part(first, F.substring_index(bare, " ", 1)), part(F.lit("surname"), F.substring_index(bare, " ", -1)))).otherwise(F.array(part(F.lit("surname"), bare)))
+    bare = F.split(F.lower(F.regexp_replace(entity, BEFORE_NAME, "")), " ")
+    name = F.transform(bare, lambda w, i: part(F.when(i == F.size(bare) - 1, "surname").otherwise(first), w))
     plain = F.when(kind.isin("email", "ip"), F.lower(entity)).otherwise(F.upper(F.regexp_replace(entity, "[^A-Za-z0-9]", "")))
     return F.when(kind == "name", name).otherwise(F.array(part(kind, plain)))
 
@@ -107,20 +113,47 @@ def surrogate_of(kind: Column, word: Column, own: Column, chars: Column, key: st
         check = lambda w: F.concat(F.substr(w, F.lit(1), n - 1), F.pmod(F.lit(10) - luhn_sum(digits(w)) % 10, F.lit(10)).cast("string"))
         return let(plain(F.lit(1)), lambda w: F.when(valid, check(w)).otherwise(w))
 
+    def iban():
+        valid = rest_of_97(F.concat(F.substr(word, F.lit(5)), F.substr(word, F.lit(1), F.lit(4)))) == 1
+        body = lambda w: F.concat(F.substr(w, F.lit(5)), F.substr(w, F.lit(1), F.lit(2)))
+        check = lambda w: F.lpad((F.lit(98) - rest_of_97(F.concat(body(w), F.lit("00")))).cast("string"), 2, "0")
+        return let(plain(F.lit(4)), lambda w: F.when(valid, F.concat(F.substr(w, F.lit(1), F.lit(2)), check(w), F.substr(w, F.lit(5)))).otherwise(w))
+
     latin = word.rlike("[a-z]$")
     ending = F.when(kind == "first_f", F.when(latin, "a").otherwise("а")).otherwise(F.when(latin, F.substr(F.lit("nrslk"), at(own, F.lit(63)) % 5 + 1, F.lit(1))).otherwise("н"))
-    keep = F.when(kind == "iban", 4).when(kind == "phone", F.greatest(F.lit(0), F.least(n - 10, F.lit(3)))).when(kind == "ssn", 1).otherwise(0)
-    ip = F.concat_ws(".", *[(at(own, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    return F.when(kind == "ip", ip).when(kind == "email", email()).when(kind == "card", card()) \
+    keep = F.when(kind == "phone", F.greatest(F.lit(0), F.least(n - 10, F.lit(3)))).when(kind == "ssn", 1).otherwise(0)
+    return F.when(kind == "ip", address(word, own)).when(kind == "email", email()).when(kind == "card", card()).when(kind == "iban", iban()) \
         .otherwise(let(plain(keep), lambda w: F.when(kind.startswith("first"), F.concat(F.substr(w, F.lit(1), n - 1), ending)).otherwise(w)))
 
 
+def rest_of_97(code: Column) -> Column:
+    """The number that a code spells, letters being 10 to 35, modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(characters(code), F.lit(0), lambda rest, c: F.when(c.rlike("[0-9]"), rest * 10 + value(c)).otherwise(rest * 100 + value(c)) % 97)
+
+
+def address(word: Column, own: Column) -> Column:
+    """A private or loopback address gives another of the same range, a public one a public one."""
+    octet = lambda i: (at(own, F.lit(i)) % 254 + 1).cast("string")
+    last = F.concat_ws(".", octet(2), octet(3))
+    middle = (at(own, F.lit(1)) % 16 + 16).cast("string")
+    return F.when(word.rlike(r"^(10|127)\."), F.concat_ws(".", F.substring_index(word, ".", 1), octet(1), last)) \
+        .when(word.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), last)) \
+        .when(word.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), middle, last)) \
+        .otherwise(F.concat_ws(".", (at(own, F.lit(0)) % 89 + 11).cast("string"), octet(1), last))
+
+
+def in_case(model: Column, word: Column) -> Column:
+    """``word`` with upper case where ``model`` of the same length has it."""
+    return F.array_join(F.zip_with(characters(model), characters(word), lambda m, c: F.when(m != F.lower(m), F.upper(c)).otherwise(c)), "")
+
+
 def styled(entity: Column, word: Column) -> Column:
     """A surrogate code or address in the shape of the entity: its separators and its upper case."""
     kind = kind_of(entity)
     chars = characters(entity)
     alike = F.length(word) == F.length(entity)
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(word, i + 1, F.lit(1)))).otherwise(F.substr(word, i + 1, F.lit(1)))), "")
+    cased = in_case(entity, word)
     before = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(word, before(i), F.lit(1))).otherwise(c)), "")
     same = F.length(F.regexp_replace(entity, "[^A-Za-z0-9]", "")) == F.length(word)
@@ -134,8 +167,10 @@ def replaced(entity: Column, key: str, known: Column | None) -> Column:
         first = surrogate_word(w["kind"], w["word"], F.lit(0), key)
         return first if known is None else F.coalesce(F.try_element_at(known, F.concat_ws("|", w["kind"], w["word"])), first)
 
-    title = F.regexp_extract(entity, rf"^((?:{TITLES_M}|{TITLES_F}) )", 1)
-    shaped = lambda w: F.when(kind_of(entity) == "name", F.concat(title, F.array_join(F.transform(w, lambda x: F.initcap(x)), " "))).otherwise(styled(entity, F.element_at(w, 1)))
+    before = F.regexp_extract(entity, f"({BEFORE_NAME})", 1)
+    own = F.split(F.regexp_replace(entity, BEFORE_NAME, ""), " ")
+    word = lambda new, old: F.when(F.length(new) == F.length(old), in_case(old, new)).otherwise(F.initcap(new))
+    shaped = lambda w: F.when(kind_of(entity) == "name", F.concat(before, F.array_join(F.zip_with(w, own, word), " "))).otherwise(styled(entity, F.element_at(w, 1)))
     return let(F.transform(words_of(entity), one), shaped)
 
 
