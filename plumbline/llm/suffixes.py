@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mix, stored, text_buffer
 
@@ -35,22 +35,24 @@ OFFSET, SLAB = 31, 20
 #: Suffixes in one run; chunks per sort range; splitters at most, and sampled suffixes for each.
 RUN, PER_PART, PARTS, SAMPLED = 200_000, 16, 20_000, 16
 NO_ID = -(1 << 63)
+#: Input partitions of which the first chunk numbers (16 bytes each) are broadcast.
+BROADCAST_PARTS = 2_000_000
 
 
 def chunks_of(documents: DataFrame) -> DataFrame:
-    """Documents in compressed chunks: chunk, doc_ids, ends (of the documents in the chunk), size, body."""
+    """Documents in compressed chunks: part (input partition) and n (place in it), doc_ids, ends (of the documents in the chunk), size, body."""
 
     def build(batches):
         from pyspark import TaskContext
 
-        base, n, ids, parts, size = TaskContext.get().partitionId() << 16, 0, [], [], 0
+        part, n, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
             body = b"".join(parts)
             ends = np.cumsum([len(p) for p in parts])
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(body)]), pa.array([pa.compress(body, "zstd", asbytes=True)])],
-                names=["chunk", "doc_ids", "ends", "size", "body"])
+                [pa.array([part]), pa.array([n]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(body)]), pa.array([pa.compress(body, "zstd", asbytes=True)])],
+                names=["part", "n", "doc_ids", "ends", "size", "body"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -65,7 +67,20 @@ def chunks_of(documents: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "chunk long, doc_ids array<long>, ends array<long>, size long, body binary")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "part long, n long, doc_ids array<long>, ends array<long>, size long, body binary")
+
+
+def numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks numbered without gaps in the order of (part, n), so that a number and an offset fit an address up to 2**32 chunks.
+
+    The prefix sum runs over one row per input partition.
+    """
+    sizes = chunks.groupBy("part").agg(F.count("*").alias("in_part"))
+    bases = stored(sizes.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("base")))
+    if (bases.agg(F.max("base")).head()[0] or 0) >= 1 << (62 - OFFSET):
+        raise ValueError("more chunks than addresses")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_PARTS else bases
+    return chunks.join(bases, "part").select((F.col("base") + F.col("n")).alias("chunk"), "doc_ids", "ends", "size", "body")
 
 
 def opened(body: bytes, size: int) -> np.ndarray:
@@ -394,9 +409,9 @@ def merged(runs: DataFrame, splitters: np.ndarray) -> DataFrame:
 
 def repeated_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks, per chunk the lists of starts and ends of bytes to remove)."""
-    chunks = stored(chunks_of(documents))
+    chunks = numbered(stored(chunks_of(documents)))
     n = max(1, chunks.count())
-    parts, buckets = min(PARTS, max(32, n // PER_PART)), max(64, n // 14)
+    parts, buckets = min(PARTS, max(8, n // PER_PART)), max(64, n // 14)
     per_chunk = CHUNK * 2 // (SIDE + 2)
     messages = stored(hash_messages(chunks, buckets, max(1, n * per_chunk // (parts * SAMPLED))))
     sample = messages.filter("sample IS NOT NULL").select("sample").distinct().orderBy(F.xxhash64("sample"), "sample").limit(2 * PARTS * SAMPLED).collect()
@@ -451,5 +466,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 
 def repeat_digest(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; nulls, ties and repeated rows as in ``without_repeats``,
+    no rows for an empty table."""
     return without_repeats(documents).drop("kept")
