@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import localize as N
+from ..operators.near import near_duplicates
 from ..session import table
 from .compare import PAIR_SQL
 from .fixtures import DIVERSITY_SQL, ORDER_COLS, SCORES_SQL, lineitem_pair, order_diversity, order_scores
@@ -192,3 +193,28 @@ def _(spark, d):
     outliers = zscore_outliers(li, ["l_extendedprice"], 2.0).select(F.lit("outliers").alias("cause"), F.col("outliers").alias("rows"))
     missing = li.agg(F.lit("missing").alias("cause"), F.count_if(F.col("l_discount") == 0).alias("rows"))
     return N.root_causes(duplicates.unionByName(outliers).unionByName(missing))
+
+
+def near_sql(percent: int) -> str:
+    """All pairs that share a shingle, exact similarity, and clusters by reachability."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+sets AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT node, n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+pairs2 AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs UNION ALL SELECT node, node FROM sets),
+reach AS (SELECT a, b FROM pairs2 UNION SELECT r.a, x.b FROM reach r JOIN pairs2 x ON r.b = x.a),
+label AS (SELECT a AS node, min(b) AS cluster_id FROM reach GROUP BY a),
+out AS (SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(sets.node, s.doc_id) AS exact_id, coalesce(label.cluster_id, s.doc_id) AS cluster_id, label.node IS NULL AS alone
+    FROM s LEFT JOIN sets ON s.s = sets.s LEFT JOIN label ON label.node = sets.node)
+SELECT doc_id, n_shingles, exact_id, cluster_id, CASE WHEN alone THEN 1 ELSE count(*) OVER (PARTITION BY cluster_id, alone) END AS cluster_size, cluster_id = doc_id AS kept FROM out"""
+
+
+@query("near_duplicates", near_sql(80))
+def _(spark, d):
+    return near_duplicates(table(spark, d, "documents"))
+
+
+@query("near_duplicates_95", near_sql(95))
+def _(spark, d):
+    return near_duplicates(table(spark, d, "documents"), similarity=0.95)
