@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHasher, lower_ascii, releasing, segments, text_buffer
+from .common import WordHasher, lower_ascii, releasing, segments, stored, text_buffer
 
 #: Ids in one block of the file format.
 BLOCK = 1 << 16
 #: Bytes of remembered units and their ids a worker may hold; beyond that it drops those it has not met for longest.
 #: This bounds memory and changes no result.
-REMEMBERED = 48 << 20
+REMEMBERED = 24 << 20
+#: Bytes of text that one pass encodes; a longer text is a pass of its own.
+PASS = 1 << 19
 #: Units given to the library in one text.
 JOINED = 64
 #: Texts given to the library at once.
@@ -191,7 +193,7 @@ def encoded_texts(column: pa.Array, path: str, end_id: int):
     """Per row: an array of ids with ``end_id`` at the end."""
     data, offsets = text_buffer(column)
     encode = encoder(path).encode
-    for lo, hi in segments(offsets):
+    for lo, hi in segments(offsets, PASS):
         ids, counts = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         last = np.cumsum(counts)
         ids = np.insert(ids, last, np.uint32(end_id))
@@ -235,6 +237,23 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
     from tokenizers import Tokenizer
 
     bits = width(max(vocabulary or Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1))
+    kind = "<u2" if bits <= 16 else "<u4"
+
+    def encode(batches):
+        def ready():
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "tie", "ids"])
+
+        for batch in batches:
+            out, size = ([], [], []), 0
+            for doc_id, tie, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded_texts(batch.column(2), path, end_id)):
+                for column, value in zip(out, (doc_id, tie, ids.astype(kind).tobytes())):
+                    column.append(value)
+                size += len(ids)
+                if size >= 8 * BLOCK:
+                    yield ready()
+                    out, size = ([], [], []), 0
+            if out[0]:
+                yield ready()
 
     def write(batches):
         from pyspark import TaskContext
@@ -258,7 +277,8 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
             waiting, size = [ids[cut:]], len(ids) - cut
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(batch.column(1), path, end_id)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2)):
+                ids = np.frombuffer(ids.as_buffer(), kind).astype(np.uint32)
                 docs.append((doc_id, at, len(ids)))
                 at += len(ids)
                 waiting.append(ids)
@@ -267,9 +287,11 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
                     yield from flush(False)
         yield from flush(True)
 
-    tie = F.xxhash64("text")
-    ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(releasing(write, encodes=True), BLOCKS).write.option("compression", "none").parquet(folder)
+    # ids are written before they are dealt out: they are smaller than texts, and the ranges are found without encoding twice
+    rows = documents.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+    encoded = stored(rows.mapInArrow(releasing(encode, encodes=True), "doc_id long, tie long, ids binary"))
+    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.mapInArrow(releasing(write), BLOCKS).write.option("compression", "none").parquet(folder)
 
 
 def crc_joined(parts) -> int:
@@ -309,7 +331,8 @@ def read_token_files(spark, folder: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             out = {k: [] for k in ("part", "doc_start", "doc_id", "n_tokens", "first_id", "n_ids", "crc")}
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a block at a time
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
                 body = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4").tobytes()
                 first, end = row["first_id"], row["first_id"] + row["n_ids"]
                 docs = list(zip(row["doc_ids"], row["doc_starts"], row["doc_lengths"]))
@@ -344,12 +367,17 @@ def read_token_files(spark, folder: str) -> DataFrame:
 
 
 def token_digest(documents: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write the token files to the shared folder, read them back and return one row per document."""
+    """Write the token files to the shared folder, read them back and return one row per document: doc_id, start, n_tokens, ids_crc32.
+
+    Nulls, ties and repeated rows as in ``write_token_files``; an empty table gives no rows. The files go when the session ends.
+    """
     import uuid
 
     from plumbline.operators.materialise import ensure_checkpoint_dir
 
     spark = documents.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     write_token_files(documents, folder, path or default_tokenizer(), end_id)
     return read_token_files(spark, folder)
