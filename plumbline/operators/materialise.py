@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,18 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write once to the checkpoint folder and read from there, also after executors are lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def leaves_with_session(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the session ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, for what several passes read in part; it goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(leaves_with_session(spark, path))

@@ -6,12 +6,13 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import same_key_join
-from .materialise import materialise
+from .materialise import written
 
 #: Words of a shingle, hashes of a band, and bands. Two texts of similarity 0.8 share no band with probability
 #: (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million; texts of higher similarity are missed less often still.
 SHINGLE, ROWS, BANDS = 5, 4, 24
+#: Nodes whose keys (24 bytes each) may be broadcast to find their texts.
+BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,15 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = links.groupBy(at).agg(F.least(F.min(to), F.col(at)).alias("m"))
         return links.join(least, at)
 
-    links = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = materialise(large.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        down = written(large.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         small = star(down, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        links = materialise(small.filter("a != b").distinct())
+        links = written(small.filter("a != b").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if now == mark:
             break
@@ -56,12 +57,21 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """node, size, band, bucket: the bands of every set, from minima that are aggregated where the set lies."""
-    each = nodes.select("node", "size", F.explode("shingles").alias("h"))
-    minima = each.groupBy("node", "size").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)])
-    bands = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("bucket")) for b in range(BANDS)]
-    return minima.select("node", "size", F.inline(F.array(*bands)))
+def sketched(rows: DataFrame) -> DataFrame:
+    """id, text_hash, size, finger (four sums that identify the set) and buckets (one per band) of the texts with words.
+
+    Shingles are folded where they lie; only sums and minima move. Rows that repeat an id and a text fold into one row, so
+    counts and sums are divided by their number.
+    """
+    each = rows.select("id", "text_hash", F.posexplode(shingle_hashes(F.col("text"))).alias("at", "h"))
+    low = (1 << 32) - 1
+    again = F.xxhash64("h", F.lit(1))
+    sums = [F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32), again.bitwiseAND(low), F.shiftrightunsigned(again, 32)]
+    minima = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
+    found = each.groupBy("id", "text_hash").agg(F.count_if(F.col("at") == 0).alias("copies"), F.count("*").alias("n"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(sums)], *minima)
+    finger = F.struct(*[F.expr(f"s{k} div copies").alias(f"f{k}") for k in range(4)])
+    buckets = F.array(*[F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return found.select("id", "text_hash", F.expr("n div copies").alias("size"), finger.alias("finger"), buckets.alias("buckets"))
 
 
 def overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,31 +82,39 @@ def overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumn("similarity", F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both"))).drop("_a", "_b", "_both")
 
 
-def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, similarity) that connect what the similarity joins: ``nodes`` are node, size, shingles of distinct sets.
+def sets_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and shingles of ``nodes`` (node, id, text_hash), worked out again from the one row that stands for each."""
+    wanted = written(nodes.select("node", "id", "text_hash"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return written(rows.join(wanted, ["id", "text_hash"]).dropDuplicates(["node"]).select("node", shingle_hashes(F.col("text")).alias("shingles")))
+
+
+def near_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, similarity) that connect what the similarity joins: ``nodes`` are node, id, text_hash, size, buckets of distinct sets.
 
     Each member of a bucket meets the bucket's least node. Distance 1 - similarity is a metric, so members of different
-    components can only be near if their distances from that node differ by no more than the limit; just those meet.
+    components can only be near if their distances from that node differ by no more than the limit; just those meet. Sets are
+    made for nodes that share a bucket only.
     """
     limit = 1 - similarity + 1e-12
-    bands = materialise(banded(nodes))
-    least = bands.groupBy("band", "bucket").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "least")
-    shared = materialise(bands.join(least, ["band", "bucket"]).select("band", "bucket", "node", "size", F.col("least.node").alias("centre"), F.col("least.size").alias("centre_size")))
+    bands = nodes.select("node", "size", F.posexplode("buckets").alias("band", "bucket"))
+    least = bands.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "centre")
+    shared = written(bands.join(least, ["band", "bucket"]))
+    sets = sets_of(nodes.join(shared.select("node").distinct(), "node", "left_semi"), rows)
     pairs = shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    met = materialise(overlaps(pairs, nodes))
+    met = written(overlaps(pairs, sets))
     first = met.filter(F.col("similarity") >= similarity - 1e-12)
-    label = components(first).select(F.col("node"), "label")
+    label = components(first)
     member = shared.join(met.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")), ["centre", "node"], "left")
     member = member.join(label, "node", "left").select("band", "bucket", "node", "size", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("band", "bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("band", "bucket")
-    open_ = materialise(member.join(mixed, ["band", "bucket"]).withColumn("cell", F.floor(F.col("far") / limit)))
+    open_ = written(member.join(mixed, ["band", "bucket"]).withColumn("cell", F.floor(F.col("far") / limit)))
     one = open_.select("band", "bucket", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("far").alias("_fa"), F.col("label").alias("_la"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     two = open_.select("band", "bucket", F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("far").alias("_fb"), F.col("label").alias("_lb"), "cell")
     alike = (F.least("_sa", "_sb") >= similarity * F.greatest("_sa", "_sb") - 1e-9) & (F.abs(F.col("_fa") - F.col("_fb")) <= limit)
     rest = one.join(two, ["band", "bucket", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & alike).select("a", "b").distinct()
-    rest = rest.join(met.select("a", "b"), ["a", "b"], "left_anti")
-    later = overlaps(rest, nodes).filter(F.col("similarity") >= similarity - 1e-12)
-    return materialise(first.unionByName(later))
+    later = overlaps(rest, sets).filter(F.col("similarity") >= similarity - 1e-12)
+    return written(first.unionByName(later))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -108,21 +126,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     checked on the full sets. A null or empty text, and a row without id, is a cluster of its own; rows that repeat an id and
     a text are one member each of the same cluster. Texts with equal sets are one node however many there are.
     """
-    rows = df.select(F.col(id_col).alias("_id"), shingle_hashes(F.col(text_col)).alias("shingles")).withColumn("size", F.size("shingles"))
-    # equal sets meet by a digest of the whole set
-    rows = rows.withColumn("digest", F.when((F.col("size") > 0) & F.col("_id").isNotNull(), F.unhex(F.sha2(F.array_join(F.transform("shingles", lambda h: F.hex(h)), ","), 256))))
-    rows = materialise(rows)
-    nodes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_id").alias("exact"), F.first("size").alias("size"), F.first("shingles").alias("shingles"))
-    nodes = materialise(nodes.withColumn("node", F.xxhash64("digest")))
-    links = near_links(nodes.select("node", "size", "shingles"), similarity)
-    label = components(links)
-    named = nodes.select("digest", "node", "exact").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("exact").alias("cluster"))
-    named = named.join(least, "label").select("digest", "exact", "cluster")
-    found = same_key_join(rows.drop("shingles"), named, ["digest"], "left")
-    cluster = F.coalesce("cluster", "_id")
-    out = found.select(F.col("_id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.coalesce("exact", "_id").alias("exact_id"), cluster.alias("cluster_id"), F.col("digest").isNull().alias("_alone"))
-    out = materialise(out)
-    sizes = out.filter("NOT _alone").groupBy("cluster_id").agg(F.count("*").alias("_size"))
-    out = out.join(sizes, "cluster_id", "left").withColumn("cluster_size", F.when(F.col("_alone"), F.lit(1)).otherwise(F.col("_size")).cast("long"))
-    return out.select(id_col, "n_shingles", "exact_id", "cluster_id", "cluster_size", F.coalesce(F.col("cluster_id") == F.col(id_col), F.lit(True)).alias("kept"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sketch = written(sketched(rows.filter("id IS NOT NULL")))
+    nodes = sketch.groupBy("finger", "size").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("buckets").alias("buckets"))
+    nodes = written(nodes.select(F.xxhash64("finger", "size").alias("node"), "least.id", "least.text_hash", "finger", "size", "buckets"))
+    label = components(near_links(nodes, rows, similarity))
+    named = nodes.select("finger", "size", "node", F.col("id").alias("exact")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(named.groupBy("label").agg(F.min("exact").alias("cluster")), "label").select("finger", "size", "exact", "cluster")
+    of_row = written(sketch.select("id", "text_hash", "finger", "size").join(named, ["finger", "size"]).select("id", "text_hash", "size", "exact", "cluster"))
+    found = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).join(of_row, ["id", "text_hash"], "left")
+    found = written(found.select("id", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("exact", "id").alias("exact"), F.coalesce("cluster", "id").alias("cluster"), F.col("cluster").isNull().alias("alone")))
+    sizes = found.filter("NOT alone").groupBy("cluster").agg(F.count("*").alias("members"))
+    out = found.join(sizes, "cluster", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("exact").alias("exact_id"), F.col("cluster").alias("cluster_id"),
+        F.when(F.col("alone"), 1).otherwise(F.col("members")).cast("long").alias("cluster_size"), F.coalesce(F.col("cluster") == F.col("id"), F.lit(True)).alias("kept"))
