@@ -1,89 +1,155 @@
-"""How well a classifier tells the two sides apart."""
+"""How well a classifier tells the two sides apart: random forests of all validations, grown together by grouped aggregates."""
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .compare import KEY
+from .common import lookup_join, same_key_join
+from .materialise import written
 from .sampling import balanced_sample, unit_hash
 
 # Forest shape, split, row limit per side, weights and threshold.
-TREES, DEPTH, SEED = 10, 5, 42
+TREES, DEPTH = 10, 5
 TEST_SHARE = 0.3
 ROWS_PER_SIDE = 10_000
 GAP_THRESHOLD = 75.0
 #: Value ranges per column between which a tree can split.
 BINS = 32
+#: Room for the nodes of a tree, numbered from 1; forests that may be broadcast.
+NODES = 2 << DEPTH
+BROADCAST_FORESTS = 2000
+#: Chances that a row is drawn at most 0, 1, 2, ... times for a tree (Poisson with mean 1).
+DRAWN = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
-def forest_votes(x: np.ndarray, y: np.ndarray, taught: np.ndarray) -> np.ndarray:
-    """Mean probability of label 1 for every row of ``x`` from a random forest that learns from the ``taught`` rows.
+def drawn(tree: Column, digest: Column) -> Column:
+    """How often a tree learns from a row, by a hash of both."""
+    u = F.pmod(F.xxhash64(tree, digest), F.lit(1 << 30)) / float(1 << 30)
+    return sum(((u >= limit).cast("int") for limit in DRAWN), F.lit(0))
 
-    Columns are cut at quantiles of the taught rows. A tree weighs rows by Poisson draws and splits all nodes of a level
-    at once, each at the least Gini impurity over a random subset of about sqrt(columns) columns.
+
+def leaf(bins: Column, splits: Column, tree: Column, depth: int) -> Column:
+    """The node (root 1, children 2n and 2n + 1) of ``tree`` that a row of ``bins`` reaches after ``depth`` levels of ``splits``, an
+    array of struct(column, cut) by tree and node; where a node is not split, its left child."""
+
+    def step(node):
+        split = F.get(splits, tree * NODES + node)
+        return node * 2 + F.coalesce((F.get(bins, split["column"]) > split["cut"]).cast("int"), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), lambda node, _: step(node)) if depth else F.lit(1)
+
+
+def column_cuts(rows: DataFrame, columns: int) -> DataFrame:
+    """Per validation the quantiles of every column of the taught rows."""
+    points = ", ".join(repr(k / BINS) for k in range(1, BINS))
+    return rows.filter("NOT test").groupBy(KEY).agg(*[F.expr(f"percentile(x[{i}], array({points}))").alias(f"_q{i}") for i in range(columns)])
+
+
+def allowed_columns(columns: int) -> Column:
+    """About sqrt(columns) columns that a node of a tree may split by: fixed draws, looked up by tree and node."""
+    count = math.ceil(columns**0.5)
+    rng = random.Random(42)
+    draws = [sorted(rng.sample(range(columns), count)) for _ in range(TREES * NODES)]
+    text = ", ".join(f"array({', '.join(map(str, d))})" for d in draws)
+    return F.expr(f"get(array({text}), tree * {NODES} + node)")
+
+
+def best_splits(counts: DataFrame) -> DataFrame:
+    """validation, tree, node, column, cut: the split of every node with the greatest fall of Gini impurity.
+
+    ``counts`` has one row (n, ones) per validation, tree, node, column and bin; ties go to the lower column and cut.
+    """
+    place = Window.partitionBy(KEY, "tree", "node", "column")
+    upto = place.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.select("*", F.sum("n").over(upto).alias("left"), F.sum("ones").over(upto).alias("left_ones"), F.sum("n").over(place).alias("all"), F.sum("ones").over(place).alias("all_ones"))
+    purity = lambda k, m: k * (m - k) / m.cast("double")
+    rest, rest_ones = F.col("all") - F.col("left"), F.col("all_ones") - F.col("left_ones")
+    gains = sums.filter("left < all").withColumn("gain", purity(F.col("all_ones"), F.col("all")) - purity(F.col("left_ones"), F.col("left")) - purity(rest_ones, rest))
+    best = gains.filter("gain > 1e-9").groupBy(KEY, "tree", "node").agg(F.min(F.struct((-F.round("gain", 9)).alias("loss"), "column", "bin")).alias("best"))
+    return best.select(KEY, "tree", "node", F.col("best.column").alias("column"), F.col("best.bin").alias("cut"))
+
+
+def by_node(rows: DataFrame, keys: DataFrame, name: str, value: Column) -> DataFrame:
+    """One row per validation: array ``name`` of ``value`` by tree and node, null where ``rows`` has none."""
+    grid = keys.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(TREES * NODES - 1))))
+    filled = same_key_join(grid, rows.select(KEY, (F.col("tree") * NODES + F.col("node")).alias("at"), value.alias("value")), [KEY, "at"], "left")
+    return filled.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]).alias(name))
+
+
+def with_forest(rows: DataFrame, forests: DataFrame) -> DataFrame:
+    """``rows`` beside their validation's forest (about 10 KB), broadcast if there are few."""
+    forests = written(forests)
+    return same_key_join(rows, F.broadcast(forests) if forests.count() <= BROADCAST_FORESTS else forests, [KEY])
+
+
+def grown_forests(taught: DataFrame, columns: int) -> DataFrame:
+    """One row per validation: ``splits`` and ``shares`` (of label 1), arrays by tree and node.
+
+    ``taught`` has validation, digest, label and bins. All nodes of a level of all trees of all validations are split by one
+    grouped count over (tree, node, column, bin), at most TREES * 2 ** level * sqrt(columns) * BINS groups a validation.
     """
-    n, d = x.shape
-    rng = np.random.default_rng(SEED)
-    points = np.linspace(0, 1, BINS + 1)[1:-1]
-    codes = np.stack([np.searchsorted(np.unique(np.quantile(x[taught, c], points)), x[:, c]) for c in range(d)], 1)
-    subset = max(1, int(np.ceil(np.sqrt(d))))
-    votes = np.zeros(n)
-    for _ in range(TREES):
-        weight = np.where(taught, rng.poisson(1.0, n), 0).astype(float)
-        node = np.zeros(n, np.int64)
-        for level in range(DEPTH):
-            nodes = 1 << level
-            best, column, cut = np.full(nodes, 1e-9), np.zeros(nodes, np.int64), np.full(nodes, BINS)
-            allowed = rng.random((nodes, d)).argsort(1).argsort(1) < subset
-            for c in range(d):
-                at = node * BINS + codes[:, c]
-                total = np.bincount(at, weight, nodes * BINS).reshape(nodes, BINS).cumsum(1)
-                ones = np.bincount(at, weight * y, nodes * BINS).reshape(nodes, BINS).cumsum(1)
-                purity = lambda k, m: k * (m - k) / np.maximum(m, 1)
-                rest, rest_ones = total[:, -1:] - total, ones[:, -1:] - ones
-                gain = purity(ones[:, -1:], total[:, -1:]) - purity(ones, total) - purity(rest_ones, rest)
-                gain[(total == 0) | (rest == 0) | ~allowed[:, c : c + 1]] = 0
-                top = gain.argmax(1)
-                better = gain[np.arange(nodes), top] > best
-                best[better], column[better], cut[better] = gain[np.arange(nodes), top][better], c, top[better]
-            node = node * 2 + (codes[np.arange(n), column[node]] > cut[node])
-        held = np.bincount(node, weight, 1 << DEPTH)
-        votes += np.where(held > 0, np.bincount(node, weight * y, 1 << DEPTH) / np.maximum(held, 1), 0.5)[node]
-    return votes / TREES
+    keys = written(taught.select(KEY).distinct())
+    each = taught.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("w", drawn(F.col("tree"), F.col("digest")))
+    each = written(each.filter("w > 0").select(KEY, "tree", "w", "label", "bins"))
+    split = F.struct("column", "cut")
+    splits, rows, allowed = None, each.withColumn("node", F.lit(1)), allowed_columns(columns)
+    for level in range(DEPTH):
+        cells = rows.withColumn("column", F.explode(allowed)).withColumn("bin", F.get("bins", F.col("column")))
+        counts = cells.groupBy(KEY, "tree", "node", "column", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("ones"))
+        found = best_splits(counts)
+        splits = written(found if splits is None else splits.unionByName(found))
+        rows = with_forest(each, by_node(splits, keys, "splits", split)).withColumn("node", leaf(F.col("bins"), F.col("splits"), F.col("tree"), level + 1)).drop("splits")
+    leaves = rows.groupBy(KEY, "tree", "node").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("share"))
+    return same_key_join(by_node(splits, keys, "splits", split), by_node(leaves, keys, "shares", F.col("share")), [KEY])
+
+
+def votes() -> Column:
+    """Mean share of label 1 over the trees beside a row; a leaf that no taught row reached says 0.5."""
+
+    def vote(tree):
+        at = tree * NODES + leaf(F.col("bins"), F.col("splits"), tree, DEPTH)
+        return F.coalesce(F.get("shares", at), F.lit(0.5))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TREES - 1)), F.lit(0.0), lambda total, tree: total + vote(tree)) / float(TREES)
 
 
 def distinguishability(pair: DataFrame, cols: Sequence[str], id_cols: Sequence[str], rows_per_side: int = ROWS_PER_SIDE) -> DataFrame:
     """Train and test accuracy of a random forest on balanced samples, per validation.
 
-    A forest learns from at most twice ``rows_per_side`` rows, so each validation is one bounded group and any number of
-    them is fitted side by side. Missing values count as zero. Without rows on either side of the split, accuracy is 0.5.
+    A forest learns from at most ``rows_per_side`` rows a side; the forests of all validations grow level by level in the same
+    grouped aggregates, so no validation is a task of its own. Columns are cut at quantiles of the taught rows; draws of rows
+    and columns come from hashes, so reruns agree. Missing values count as zero. Without rows on either side of the split, or
+    without columns, accuracy is 0.5.
     """
     cols = list(cols)
     sample = balanced_sample(pair, rows_per_side, id_cols, [KEY])
-    label = F.when(F.col("side") == "syn", 0.0).otherwise(1.0)
+    value = lambda c: F.when(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) < float("inf"), F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
     # a second digest decides the split, so it does not depend on which rows were sampled
     digest = F.md5(F.concat(F.lit("split"), F.col("_h"), F.col("side")))
-    ready = sample.select(
-        KEY, "_h", label.alias("_label"), (unit_hash(digest) < TEST_SHARE).alias("_test"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]
-    )
-    names = [f"_x{i}" for i in range(len(cols))]
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "_label", *names])  # the same forest in whatever order rows arrive
-        x = np.nan_to_num(pdf[names].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
-        y, test = pdf["_label"].to_numpy(float), pdf["_test"].to_numpy(bool)
-        votes = forest_votes(x, y, ~test) if not test.all() and names else np.full(len(y), 0.5)
-        hit = (votes > 0.5) == (y == 1)
-        train_accuracy, test_accuracy = (float(hit[part].mean()) if part.any() else 0.5 for part in (~test, test))
-        return pd.DataFrame({KEY: [key[0]], "train_accuracy": [train_accuracy], "test_accuracy": [test_accuracy]})
-
-    kind = pair.schema[KEY].dataType.simpleString()
-    out = ready.groupBy(KEY).applyInPandas(fit, f"{KEY} {kind}, train_accuracy double, test_accuracy double")
-    return out.withColumn("distinguishability", (F.col("test_accuracy") - 0.5) * 2.0)
+    rows = written(sample.select(
+        KEY, F.concat("_h", "side").alias("digest"), F.when(F.col("side") == "syn", 0).otherwise(1).alias("label"), (unit_hash(digest) < TEST_SHARE).alias("test"),
+        F.array(*[value(c) for c in cols]).cast("array<double>").alias("x"),
+    ))
+    known = rows.select(KEY).distinct()
+    if not cols:
+        half = F.lit(0.5)
+        return known.select(KEY, half.alias("train_accuracy"), half.alias("test_accuracy"), F.lit(0.0).alias("distinguishability"))
+    cuts = written(column_cuts(rows, len(cols)))
+    binned = lookup_join(rows, cuts, [KEY])
+    below = lambda i: F.size(F.filter(f"_q{i}", lambda q: q < F.element_at("x", i + 1)))
+    bins = [below(i) for i in range(len(cols))]
+    ready = written(binned.select(KEY, "digest", "label", "test", F.array(*bins).alias("bins")))
+    judged = with_forest(ready, grown_forests(ready.filter("NOT test"), len(cols))).withColumn("hit", (votes() > 0.5) == (F.col("label") == 1))
+    hits = judged.groupBy(KEY).agg(*[F.avg(F.when(F.col("test") == part, F.col("hit").cast("double"))).alias(name) for name, part in (("train_accuracy", False), ("test_accuracy", True))])
+    # a validation without taught rows has no forest
+    return known.join(hits.withColumnRenamed(KEY, "_key"), F.col(KEY).eqNullSafe(F.col("_key")), "left").select(
+        KEY, F.coalesce("train_accuracy", F.lit(0.5)).alias("train_accuracy"), F.coalesce("test_accuracy", F.lit(0.5)).alias("test_accuracy"),
+    ).withColumn("distinguishability", (F.col("test_accuracy") - 0.5) * 2.0)
 
 
 def generalization_gap(accuracies: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.special import anderson_darling_sigma, harmonic
-from plumbline.operators.classifier import distinguishability, forest_votes
+from plumbline.operators.classifier import distinguishability
 from plumbline.operators.common import lookup_join, wide_aggregate
 from plumbline.operators.entropy import effective_dimensions
 from plumbline.operators.pairs import stack_pair
@@ -90,16 +90,46 @@ def test_anderson_darling_by_one_formula():
     assert anderson_darling_sigma(half, half) == pytest.approx(anderson_darling_sigma(half + 1, half + 1), rel=1e-9)
 
 
-def test_forest_tells_apart_only_what_differs():
+def side_by_side(spark, x, y):
+    data = pd.DataFrame(x, columns=[f"f{i}" for i in range(x.shape[1])]).assign(validation_id="v", side=np.where(y == 1, "orig", "syn"), row=range(len(y)))
+    return spark.createDataFrame(data), [f"f{i}" for i in range(x.shape[1])]
+
+
+def test_forest_tells_apart_only_what_differs(spark):
     rng = np.random.default_rng(5)
     y = np.repeat([0.0, 1.0], 1000)
-    taught = rng.random(2000) < 0.7
     noise = rng.normal(size=(2000, 4))
     shifted = noise + np.array([0, 0, 3.0, 0]) * y[:, None]
-    accuracy = lambda x: ((forest_votes(x, y, taught) > 0.5) == (y == 1))[~taught].mean()
+    accuracy = lambda x: distinguishability(*side_by_side(spark, x, y), ["row"]).head()["test_accuracy"]
     assert accuracy(shifted) > 0.85
     assert 0.4 < accuracy(noise) < 0.6
-    assert accuracy(np.ones((2000, 4))) == pytest.approx((y[~taught] == 0).mean(), abs=0.1)
+    assert accuracy(np.ones((2000, 4))) == pytest.approx(0.5, abs=0.1)
+
+
+def test_forest_is_as_good_as_the_library_forest(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(9)
+    y = np.repeat([0.0, 1.0], 6000)
+    x = rng.normal(size=(12000, 6))
+    x[:, 1] += 0.9 * y
+    x[:, 4] *= 1 + y
+    pair, names = side_by_side(spark, x, y)
+    ours = distinguishability(pair, names, ["row"]).head()
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(pair.selectExpr("*", "double(side = 'orig') AS label"))
+    taught, held = rows.randomSplit([0.7, 0.3], 42)
+    judged = RandomForestClassifier(numTrees=10, maxDepth=5, seed=42).fit(taught).transform(held)
+    assert ours["test_accuracy"] == pytest.approx(judged.selectExpr("avg(double(prediction = label))").head()[0], abs=0.02)
+
+
+def test_forest_of_odd_pairs(spark):
+    shape = "validation_id string, side string, row long, x double"
+    rows = [(None, s, i, float(i) + 50 * (s == "syn")) for s in ("syn", "orig") for i in range(40)] + [("one", "syn", 1, None), ("one", "orig", 1, float("inf"))] + [("half", "syn", 1, 1.0)]
+    out = {r["validation_id"]: r for r in distinguishability(spark.createDataFrame(rows, shape), ["x"], ["row"]).collect()}
+    assert out[None]["train_accuracy"] > 0.9 and 0 <= out["one"]["test_accuracy"] <= 1 and "half" in out
+    assert distinguishability(spark.createDataFrame([], shape), ["x"], ["row"]).collect() == []
+    assert distinguishability(spark.createDataFrame(rows, shape), [], ["row"]).filter("test_accuracy != 0.5").collect() == []
 
 
 def test_three_hundred_validations_in_one_call(spark):
