@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .materialise import written
 
 #: Words of a shingle, hashes of a band, and bands. Two texts of similarity 0.8 share no band with probability
-#: (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million; texts of higher similarity are missed less often still.
-SHINGLE, ROWS, BANDS = 5, 4, 24
+#: (1 - 0.8 ** ROWS) ** BANDS, about 3 in a hundred thousand; texts of higher similarity are missed less often still.
+SHINGLE, ROWS, BANDS = 5, 4, 20
+#: Rounds in which a bucket's members meet one of them, before those of different components meet each other.
+CENTRES = 6
+#: Standard deviations by which the agreement of two sketches may fall short of the similarity.
+SHORT = 5.0
 #: Nodes whose keys (24 bytes each) may be broadcast to find their texts.
 BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,8 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         return links.join(least, at)
 
     links = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    mark = links.agg(F.count("*"), F.lit(None)).head()
+    while mark[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = written(large.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -67,11 +71,13 @@ def sketched(rows: DataFrame) -> DataFrame:
     low = (1 << 32) - 1
     again = F.xxhash64("h", F.lit(1))
     sums = [F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32), again.bitwiseAND(low), F.shiftrightunsigned(again, 32)]
-    minima = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
+    halves = [half for k in range(ROWS * BANDS // 2) for half in (F.xxhash64("h", F.lit(2 + k)).bitwiseAND(low), F.shiftrightunsigned(F.xxhash64("h", F.lit(2 + k)), 32))]
+    minima = [F.min(half).alias(f"m{k}") for k, half in enumerate(halves)]
     found = each.groupBy("id", "text_hash").agg(F.count_if(F.col("at") == 0).alias("copies"), F.count("*").alias("n"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(sums)], *minima)
     finger = F.struct(*[F.expr(f"s{k} div copies").alias(f"f{k}") for k in range(4)])
-    buckets = F.array(*[F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return found.select("id", "text_hash", F.expr("n div copies").alias("size"), finger.alias("finger"), buckets.alias("buckets"))
+    # a band keeps 16 bits of each minimum, which is enough to compare sketches
+    bands = [F.struct(F.xxhash64(*own).alias("bucket"), F.array(*[F.col(c).bitwiseAND(0x7FFF).cast("short") for c in own]).alias("bits")) for own in ([f"m{b * ROWS + r}" for r in range(ROWS)] for b in range(BANDS))]
+    return found.select("id", "text_hash", F.expr("n div copies").alias("size"), finger.alias("finger"), F.transform(F.array(*bands), lambda b: b["bucket"]).alias("buckets"), F.flatten(F.transform(F.array(*bands), lambda b: b["bits"])).alias("sketch"))
 
 
 def overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,32 +95,51 @@ def sets_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return written(rows.join(wanted, ["id", "text_hash"]).dropDuplicates(["node"]).select("node", shingle_hashes(F.col("text")).alias("shingles")))
 
 
-def near_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, similarity) that connect what the similarity joins: ``nodes`` are node, id, text_hash, size, buckets of distinct sets.
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label) after more links (a, b) between nodes: components of the labels they join."""
+    if not links.limit(1).count():
+        return label
+    one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in ("a", "b"))
+    joined = links.join(one, "a").join(two, "b").filter("to_a != to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    moved = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
-    Each member of a bucket meets the bucket's least node. Distance 1 - similarity is a metric, so members of different
-    components can only be near if their distances from that node differ by no more than the limit; just those meet. Sets are
-    made for nodes that share a bucket only.
+
+def clustered(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """node, label of the ``nodes`` (node, id, text_hash, size, buckets, sketch) that share a bucket: the clusters of distinct sets.
+
+    In each round the least of a bucket's members that was not yet its centre meets the members of other components, so a
+    group of near copies joins in a few rounds without meeting pair by pair. What then still lies in different components of
+    one bucket meets if sizes and sketches allow the similarity; every link is checked on the full sets, which are made for
+    nodes that share a bucket only.
     """
-    limit = 1 - similarity + 1e-12
     bands = nodes.select("node", "size", F.posexplode("buckets").alias("band", "bucket"))
-    least = bands.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "centre")
-    shared = written(bands.join(least, ["band", "bucket"]))
-    sets = sets_of(nodes.join(shared.select("node").distinct(), "node", "left_semi"), rows)
-    pairs = shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    met = written(overlaps(pairs, sets))
-    first = met.filter(F.col("similarity") >= similarity - 1e-12)
-    label = components(first)
-    member = shared.join(met.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")), ["centre", "node"], "left")
-    member = member.join(label, "node", "left").select("band", "bucket", "node", "size", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("band", "bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("band", "bucket")
-    open_ = written(member.join(mixed, ["band", "bucket"]).withColumn("cell", F.floor(F.col("far") / limit)))
-    one = open_.select("band", "bucket", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("far").alias("_fa"), F.col("label").alias("_la"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    two = open_.select("band", "bucket", F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("far").alias("_fb"), F.col("label").alias("_lb"), "cell")
-    alike = (F.least("_sa", "_sb") >= similarity * F.greatest("_sa", "_sb") - 1e-9) & (F.abs(F.col("_fa") - F.col("_fb")) <= limit)
-    rest = one.join(two, ["band", "bucket", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & alike).select("a", "b").distinct()
-    later = overlaps(rest, sets).filter(F.col("similarity") >= similarity - 1e-12)
-    return written(first.unionByName(later))
+    full = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket")
+    members = written(bands.join(full, ["band", "bucket"]))
+    inside = written(members.select("node").distinct())
+    sets = sets_of(nodes.join(inside, "node", "left_semi"), rows)
+    label = inside.withColumn("label", F.col("node"))
+    linked = lambda pairs: overlaps(pairs, sets).filter(F.col("similarity") >= similarity - 1e-12)
+    alike = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    for _ in range(CENTRES):
+        named = members.join(label, "node")
+        mixed = named.groupBy("band", "bucket").agg(F.min(F.struct("node", "size", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "bucket", "c")
+        open_ = written(named.join(mixed, ["band", "bucket"]))
+        if not open_.limit(1).count():
+            return label
+        pairs = open_.filter((F.col("label") != F.col("c.label")) & alike(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        label = merged(label, written(linked(pairs)))
+        members = open_.filter("node != c.node").select("node", "size", "band", "bucket")
+    named = members.join(label, "node")
+    mixed = named.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "bucket")
+    open_ = written(named.join(mixed, ["band", "bucket"]).join(nodes.select("node", "sketch"), "node"))
+    one, two = (open_.select("band", "bucket", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("label").alias(f"label_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
+    same = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
+    n = ROWS * BANDS
+    least = n * similarity - SHORT * (n * similarity * (1 - similarity)) ** 0.5
+    meet = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & alike(F.col("size_a"), F.col("size_b")) & (same >= least)
+    rest = one.join(two, (one["band"] == two["band"]) & (one["bucket"] == two["bucket"]) & meet).select("a", "b").distinct()
+    return merged(label, written(linked(rest)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -128,9 +153,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = written(sketched(rows.filter("id IS NOT NULL")))
-    nodes = sketch.groupBy("finger", "size").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("buckets").alias("buckets"))
-    nodes = written(nodes.select(F.xxhash64("finger", "size").alias("node"), "least.id", "least.text_hash", "finger", "size", "buckets"))
-    label = components(near_links(nodes, rows, similarity))
+    nodes = sketch.groupBy("finger", "size").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select(F.xxhash64("finger", "size").alias("node"), "least.id", "least.text_hash", "finger", "size", "buckets", "sketch"))
+    label = clustered(nodes, rows, similarity)
     named = nodes.select("finger", "size", "node", F.col("id").alias("exact")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(named.groupBy("label").agg(F.min("exact").alias("cluster")), "label").select("finger", "size", "exact", "cluster")
     of_row = written(sketch.select("id", "text_hash", "finger", "size").join(named, ["finger", "size"]).select("id", "text_hash", "size", "exact", "cluster"))

@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from plumbline.operators import localize as N
+from plumbline.operators.near import components, near_duplicates
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +87,45 @@ def test_density_counts_a_small_dense_group_and_copies(spark, monkeypatch):
         near[start : start + 500] = np.sort(d, axis=1)[:, 1:21].mean(axis=1)
     assert list(got["id"]) == list(range(len(x)))
     np.testing.assert_allclose(got["density"], 1 / (1 / (near + 1e-6) + 1e-6), rtol=1e-9)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1).upper()), (3, text(1).replace("w1x59", "end")), (4, None), (5, ""), (None, text(1)), (6, "one two"), (7, "One  two"), (8, "one three"), (9, text(9, 30_000)), (10, text(9, 30_000) + " more")]
+    frame = spark.createDataFrame([(i, t, 1, [2]) for i, t in rows], "doc_id long, text string, size int, buckets array<int>").repartition(5)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.exact_id, r.cluster_id, r.cluster_size, r.kept) for r in near_duplicates(frame).collect()))
+    assert got == [
+        (False, 1, 56, 1, 1, 4, True), (False, 1, 56, 1, 1, 4, True), (False, 2, 56, 1, 1, 4, False), (False, 3, 56, 3, 1, 4, False), (False, 4, 0, 4, 4, 1, True), (False, 5, 0, 5, 5, 1, True),
+        (False, 6, 1, 6, 6, 2, True), (False, 7, 1, 6, 6, 2, False), (False, 8, 1, 8, 8, 1, True), (False, 9, 29_996, 9, 9, 2, True), (False, 10, 29_997, 10, 9, 2, False), (True, 0, 0, None, None, 1, True)]
+    assert near_duplicates(frame.filter("doc_id > 99")).collect() == []
+
+
+def test_near_duplicates_of_a_large_mutated_group(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(rng.choice("uvwxyz") * 3 if rng.random() < 0.012 else w for w in base) for _ in range(250)]
+    texts += [" ".join(base[:100] + [f"t{k}_{i}" for i in range(60)]) for k in range(40)]  # share a passage, are not near
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    same = sum(r.cluster_id == root(r.doc_id) for r in got)
+    assert same >= 0.95 * len(texts) and len({root(i) for i in range(len(texts))}) < len(texts)
+    # no cluster joins what the exact similarity does not
+    assert all(root(r.cluster_id) == root(r.doc_id) for r in got)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 200)] + [(1000, i) for i in range(900, 990)] + [(5, 5), (3, 2)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 201)}, **{i: 900 for i in [1000, *range(900, 990)]}}
