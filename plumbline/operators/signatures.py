@@ -15,6 +15,7 @@ from .common import melt, numeric_columns
 from .ordered import quantiles, with_row_index
 from .rollup import THRESHOLDS
 from .sampling import random_cap
+from .sigindex import MEMBERS, SignatureIndex, temporary_index
 
 # Layout of the raw vector and the limits of the matching rules.
 DIMENSIONS = list(THRESHOLDS)
@@ -140,7 +141,8 @@ def match_exact(
 
     Inputs have unit vectors in ``vector``. A library of checked size is multiplied against batches of
     queries. A larger one is cut into cells around sampled pivots, and the triangle inequality on angles
-    tells which cells can hold a match, so the result is the same.
+    tells which cells can hold a match, so the result is the same. In many dimensions nearly every cell can, so exact search
+    in a large library compares nearly all pairs: use ``match_approx`` there.
     """
     if library.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
         return _rank(_local_search(queries, library, k, threshold, exclude_self), k)
@@ -148,24 +150,21 @@ def match_exact(
 
 
 def match_approx(
-    queries: DataFrame, library: DataFrame, k: int = TOP_K, threshold: float = MATCH_THRESHOLD,
+    queries: DataFrame, library: DataFrame | SignatureIndex, k: int = TOP_K, threshold: float = MATCH_THRESHOLD,
     probes: int = 8, exclude_self: bool = False,
 ) -> DataFrame:
-    """Approximate matches: only the cells around the nearest pivots of each query are searched."""
-    return _rank(_cell_search(queries, library, k, threshold, exclude_self, probes), k)
+    """Approximate matches from hash tables of random projections; ``library`` is a stored index, or is indexed first."""
+    index = library if isinstance(library, SignatureIndex) else temporary_index(library, probes)
+    return index.search(queries, k, threshold, exclude_self)
 
 
 def match_hybrid(
-    queries: DataFrame, library: DataFrame, k: int = TOP_K, threshold: float = MATCH_THRESHOLD,
+    queries: DataFrame, library: DataFrame | SignatureIndex, k: int = TOP_K, threshold: float = MATCH_THRESHOLD,
     probes: int = 8, exclude_self: bool = False,
 ) -> DataFrame:
-    """3k approximate candidates per query, scored again from the full vectors."""
-    near = match_approx(queries, library, 3 * k, 0.0, probes, exclude_self).select("query_id", "signature_id")
-    scored = near.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(
-        library.select("signature_id", F.col("vector").alias("_l")), "signature_id"
-    )
-    exact = scored.select("query_id", "signature_id", dot(F.col("_q"), F.col("_l")).alias("similarity"))
-    return _rank(exact.filter(F.col("similarity") >= threshold), k)
+    """The k best of 3k approximate candidates at or above the threshold."""
+    near = match_approx(queries, library, min(3 * k, MEMBERS - 1), 0.0, probes, exclude_self)
+    return near.filter((F.col("rank") <= k) & (F.col("similarity") >= threshold))
 
 
 def _local_search(queries, library, k, threshold, exclude_self):

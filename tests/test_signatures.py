@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import signatures as O
+from plumbline.operators.sigindex import SignatureIndex
 
 
 def test_risk_bands(spark):
@@ -56,7 +57,39 @@ def test_approximate_recall(vectors):
     want = brute(x, 5, 0.7)
     for search in (O.match_approx, O.match_hybrid):
         found = pairs(search(queries, lib, 5, 0.7, 8, True))
-        assert len(found & want) >= 0.8 * len(want)
+        assert len(found & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("size", [2_000, 16_000])
+def test_index_recall_and_comparisons(spark, tmp_path, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 32))
+    x[size // 2 :] = x[: size // 2] + 0.75 * rng.normal(size=(size // 2, 32))  # near pairs around a cosine of 0.8, far from all else
+    x[-size // 4 :] = x[-1]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lib = spark.createDataFrame(pd.DataFrame({"signature_id": range(size), "vector": list(x)}))
+    SignatureIndex.build(lib, str(tmp_path / "index"))
+    index = SignatureIndex.open(spark, str(tmp_path / "index"))
+    asked = list(range(0, size, size // 200))
+    queries = lib.filter(F.col("signature_id") % (size // 200) == 0).withColumnRenamed("signature_id", "query_id")
+    sims = x[asked] @ x.T
+    want = set()
+    for row, q in enumerate(asked):
+        sims[row, q] = -2
+        order = np.lexsort((np.arange(size), -np.round(sims[row], 9)))[:5]
+        want |= {(q, int(i)) for i in order if sims[row, i] >= 0.7}
+    found = pairs(O.match_approx(queries, index, 5, 0.7, exclude_self=True))
+    assert len(want) > 200 and len(found & want) >= 0.9 * len(want) and found <= {(q, i) for q in asked for i in range(size)}
+    met = index.candidates(queries.withColumnRenamed("query_id", "node")).count() / len(asked)
+    assert met <= 6 * size**0.65  # a power below one of the library's size
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "signature_id long, vector array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert O.match_approx(some, none, 5, 0.7).collect() == []
+    lib = some.withColumnRenamed("query_id", "signature_id")
+    assert {(r["query_id"], r["signature_id"]) for r in O.match_approx(some, lib, 5, 0.7).collect()} == {(1, 1)}
 
 
 def test_vector_layout(spark):
