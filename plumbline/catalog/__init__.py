@@ -8,7 +8,7 @@ from .registry import QUERIES, SQL
 
 FAMILIES = [
     "profile", "rows", "metadata", "compare", "structure", "rollup",
-    "localize", "signatures", "recommend", "sampling", "series", "streams",
+    "localize", "signatures", "recommend", "sampling", "series", "streams", "privacy", "quarantine",
 ]
 
 
