@@ -66,6 +66,47 @@ def test_token_files_round_trip(spark, odd):
         assert (tokens.unpack(body, bits, 0, 1001) == ids).all() and (tokens.unpack(body, bits, 500, 77) == ids[500:577]).all()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_documents_are_the_tokenizers(spark, name, odd, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    docs = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect()] + [(10_000, None), (10_001, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in docs}
+    pieces = collections.defaultdict(list)
+    for r in packing.pack_documents(frame, path).collect():
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert {i: sorted(p) for i, p in pieces.items()} == {
+        i: [(k, a, len(x[a : a + 2048]), zlib.crc32(x[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(x), 2048))] for i, x in ids.items()}
+    start = 0
+    for r in sorted(tokens.token_digest(frame, path).collect(), key=lambda r: r.doc_id):
+        x = ids[r.doc_id].copy()
+        x[-1] = 2
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+
+
+def test_units_of_hard_characters_and_little_memory(monkeypatch):
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = tokens.default_tokenizer()
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(6)
+    signs = [*"aAbBzéÉçñßİıΣσςжЖЯёЁ日本語 \t\n'’.,!?<>|-_0123456789½²٣\u0301\x00\x1c\x85\xa0\u3000\u200b😀", "<|endoftext|>", "'s", "'LL", "don't", "<b>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    data, offsets = tokens.text_buffer(pa.array(texts))
+    for memory in (tokens.REMEMBERED, 4096):
+        monkeypatch.setattr(tokens, "REMEMBERED", memory)
+        encoder = tokens.UnitEncoder(path)
+        for lo, hi in tokens.segments(offsets, 20_000):
+            ids, counts = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[lo:hi]
+
+
 def test_packing_keeps_every_capacity_and_every_token(spark):
     docs = table(spark, FOLDER, "documents")
     for rule, limit in (("norm", None), ("dot", 3)):
@@ -174,6 +215,53 @@ def test_long_secrets(spark):
         assert not secrets.linked_spans(f"see {key} here", [])
 
 
+def test_findings_in_whole_documents_match_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    docs += [(90_001, None), (90_002, ""), (90_003, "token = 日本 password='x-y_z=1' 😀 AKIA" + "Q" * 30 + " " + "a0" * 12), (90_004, "PASSWD:abc Secret  :  'abcdef' api-key=abcdef api_KEY=/+=.-_")]
+
+    def by_hand(text):
+        text, spans, found = text or "", [], [0, 0, 0]
+        for kind, pattern, ok in (
+            (0, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+            (1, "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), (2, "[0-9a-f]+", lambda m: len(m[0]) >= 24)):
+            for m in re.finditer(pattern, text):
+                if ok(m):
+                    spans.append((m.start(), kind, m.end()))
+                    found[kind] += 1
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        return *found, hashlib.sha256(listed.encode()).hexdigest()
+
+    rows = secrets.secret_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == sorted((i, *by_hand(t)) for i, t in docs)
+    texts = dict(docs)
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for r in rows:  # masking each union of spans gives the masked text
+        want, done = "", 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x):
+            if a >= done:
+                want += texts[r.doc_id][done:a] + "[SECRET]"
+            done = max(done, b)
+        assert clean[r.doc_id] == (want + texts[r.doc_id][done:] if r.spans else texts[r.doc_id])
+
+
+@pytest.mark.parametrize("unit", ["a-", "a.", "a", "-", ".", "9", ":", "= ", "user ", "http://", "AKIA", "0f", "x+", "\n ", "a.b:80 "])
+def test_secret_patterns_are_linear(unit):
+    import time
+
+    start = time.time()
+    secrets.findings(unit * (1_000_000 // len(unit)) + ": x")
+    assert time.time() - start < 15
+
+
+def test_vectors_of_long_labels_and_odd_tables(spark):
+    shape = "vec_id long, embedding array<float>, label string, node long, links int"
+    long = "label" * 30
+    rows = [(1, [1.0, 2.0], long + "a", 1, 1), (2, [1.0, 2.0], long + "b", 1, 1), (3, [1.0, 2.0], long + "a", 1, 1), (None, [1.0, 2.0], long + "a", 1, 1), (4, [], "x", 1, 1), (5, [2.0, 4.0], long + "a", 1, 1)]
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, shape)).collect())
+    assert got == [(0, 0, None, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 0, 4, True), (5, 2, 1, False)]
+    assert vectors.near_vectors(spark.createDataFrame([], shape)).collect() == []
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 20))
@@ -203,6 +291,45 @@ def test_languages_and_toxicity_on_held_out_rows(spark):
     assert hit > 0.8 * said and hit > 0.6 * real
 
 
+def test_surrogates_of_names_ibans_and_addresses(spark):
+    rows = [(1, "Mr McDonald met Mrs O'Neil and Mr John Michael Smith."), (2, "So Mr Smith wrote to Monsieur Jean-Luc Picard; DE89370400440532013000, GB82 WEST 1234 5698 7654 32"), (3, "10.1.2.3 192.168.0.9 172.20.1.1 8.8.8.8")]
+    out = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not re.search("McDonald|O'Neil|Smith|Michael|John|Picard|Luc|WEST", " ".join(out.values()))
+    assert re.fullmatch(r"Mr [A-Z][a-z][A-Z][a-z]{5} met Mrs [A-Z]'[A-Z][a-z]{3} and Mr [A-Z][a-z]{3} [A-Z][a-z]{6} [A-Z][a-z]{4}\.", out[1])
+    assert out[1].split()[-1].rstrip(".") == out[2].split()[2]  # Smith is one person
+    codes = re.findall(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9 ]+", out[2])
+    assert len(codes) == 2
+    for code in codes:
+        code = code.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    a, b, c, d = out[3].split()
+    assert a.startswith("10.") and b.startswith("192.168.") and 16 <= int(c.split(".")[1]) < 32 and c.startswith("172.") and 11 <= int(d.split(".")[0]) < 100
+
+
+@pytest.mark.parametrize("text", ["q@" + "a." * 500_000 + "com", "a." * 500_000 + "@b.com", "-" * 1_000_000, "9" * 1_000_000, "." * 1_000_000, "Mr " + "A'b-" * 250_000, "a@" * 500_000, "12-" * 333_000])
+def test_surrogates_in_long_texts(spark, text):
+    row = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert len(row.text) == len(text)
+
+
+def test_surrogates_of_documents_stay_apart_and_together(spark):
+    docs = table(spark, FOLDER, "documents")
+    found = docs.selectExpr("doc_id", "text").withColumn("e", pii.entities(docs["text"])).filter("size(e) > 0").collect()
+    texts = {r.doc_id: r.text for r in pii.with_surrogates(docs.select("doc_id", "text")).collect()}
+    by_entity, by_new = collections.defaultdict(set), collections.defaultdict(set)
+    for r in found:
+        parts, at, end = re.split("|".join(map(re.escape, sorted(set(r.e), key=len, reverse=True))), r.text), 0, texts[r.doc_id]
+        if len(parts) != len(r.e) + 1:  # an entity's text also stands where it is none
+            continue
+        pattern = "(.+?)".join(map(re.escape, parts))
+        new = re.fullmatch(pattern, end, re.DOTALL)
+        for old, to in zip(r.e, new.groups()):
+            if old.count("@") == 1:
+                by_entity[old.lower()].add(to.lower())
+                by_new[to.lower()].add(old.lower())
+    assert len(by_entity) > 3 and all(len(v) == 1 for v in by_entity.values()) and all(len(v) == 1 for v in by_new.values()) and not set(by_entity) & set(by_new)
+
+
 def test_surrogates(spark):
     rows = [(1, "a.b@c.org +1 (806) 555-0902 36.244.114.98 4463995391413666"), (2, "A.B@C.ORG or +1-806-555-0902; x.y@c.org"), (3, None), (4, "clean text, 12 of 3")]
     out = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
