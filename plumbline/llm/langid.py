@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import extended
 
-#: Symbols are six bits: 0 for runs of non-letters, 1-26 for a-z, 27-63 for all other letters by a hash.
-BITS, ORDER = 6, 4
+#: Symbols are 16 bits: 0 for runs of non-letters, and every letter's lower case as it is. Letters beyond the basic plane (rare
+#: ideographs and historic scripts) share the 8448 places of the basic plane that never hold a letter. So a 4-gram is one
+#: 64-bit number of its real characters.
+BITS, ORDER = 16, 4
+NO_LETTERS, PLACES = 0xD800, 0xF900 - 0xD800
 #: Symbols that one vectorised pass handles.
 SYMBOLS = 1 << 20
-#: 4-grams a language keeps, the most frequent first; the rest of its probability is in the shorter orders.
-MAX_NGRAMS = 1 << 18
 
 
 def symbol_table() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint16)
     for c in range(0x110000):
         if 0xD800 <= c < 0xE000 or not unicodedata.category(chr(c)).startswith("L"):
             continue
         low = ord(chr(c).lower()[0])
-        table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % 37
+        table[c] = low if low < 0x10000 else NO_LETTERS + low % PLACES
     return table
 
 
@@ -56,7 +57,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = ends - 1
     before = before[(before >= 0) & (np.diff(np.concatenate([[-1], ends])) > 1)]
     keep[before[symbols[before] == 0]] = False
-    s = symbols[keep].astype(np.uint32)
+    s = symbols[keep].astype(np.uint64)
     edge = np.cumsum(keep)[ends]
     first = np.concatenate([[0], edge[:-1]])
     code = s.copy()
@@ -66,7 +67,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(back):  # symbols of the text before
             at = first + k
             shifted[at[at < edge]] = 0
-        code |= shifted << np.uint32(BITS * back)
+        code |= shifted << np.uint64(BITS * back)
     letters = np.add.reduceat((s > 0).astype(np.int64), first) if len(texts) else np.zeros(0, np.int64)
     return code, np.concatenate([first, edge[-1:]]), letters
 
@@ -106,54 +107,87 @@ def count_grams(rows: DataFrame) -> DataFrame:
                         held[lang] = [merged(parts)]
         for lang, parts in held.items():
             codes, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    return rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def tail(codes: np.ndarray, k: int) -> np.ndarray:
+    """The last ``k`` symbols of every gram."""
+    return codes if k == ORDER else codes & np.uint64((1 << (BITS * k)) - 1)
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of every wanted number in the sorted ``keys``, -1 where it is none of them."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 class KneserNey:
-    """One language: sorted codes of its 4-grams with log probabilities, and dense tables of the shorter orders.
+    """One language: for each order its grams in a sorted array with log probabilities, and its contexts with the log of the
+    mass they give to the next shorter order. Every gram that was counted is kept.
 
     The highest order uses counts, shorter ones the number of different symbols seen before; each order takes its discount
     from the counts of counts and gives the discounted mass to the next shorter order, the shortest to the uniform one.
     """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        size = 1 << BITS
         order = np.argsort(codes)
-        codes, counts = codes[order], counts[order].astype(float)
-        tail = [codes & ((1 << (BITS * k)) - 1) for k in range(ORDER + 1)]
-        level = {ORDER: None}
-        seen = codes
+        level = {ORDER: (codes[order], counts[order].astype(float))}
         for k in range(ORDER - 1, 0, -1):  # how many symbols stand before each shorter gram
-            level[k] = np.bincount(seen & ((1 << (BITS * k)) - 1), minlength=size**k).astype(float)
-            seen = np.flatnonzero(level[k])
-        p = np.full(size, 1 / size)
-        for k in range(1, ORDER):
-            c = level[k].reshape(-1, size)
-            d = self.discount(level[k])
-            total = c.sum(1, keepdims=True)
-            lower = p.reshape(-1, size) if k == 1 else np.tile(p.reshape(-1, size), (size, 1))
-            spare = np.where(total > 0, d * (c > 0).sum(1, keepdims=True) / np.maximum(total, 1), 1)
-            p = (np.maximum(c - d, 0) / np.maximum(total, 1) + spare * lower).reshape(-1)
-        d = self.discount(counts)
-        context = codes >> BITS
-        total = np.bincount(context, counts, size ** (ORDER - 1))
-        spare = np.where(total > 0, d * np.bincount(context, minlength=size ** (ORDER - 1)) / np.maximum(total, 1), 1)
-        exact = np.maximum(counts - d, 0) / total[context] + spare[context] * p[tail[ORDER - 1]]
-        most = np.sort(np.argsort(-counts, kind="stable")[:MAX_NGRAMS])
-        self.codes, self.logs = codes[most].astype(np.int32), np.log(exact[most]).astype(np.float32)
-        self.spare, self.short = np.log(np.maximum(spare, 1e-9)).astype(np.float32), np.log(p).astype(np.float32)
+            seen, n = np.unique(tail(level[k + 1][0], k), return_counts=True)
+            level[k] = seen, n.astype(float)
+        self.grams, self.spare = {}, {}
+        for k in range(1, ORDER + 1):
+            grams, n = level[k]
+            d = self.discount(n)
+            context, back = np.unique(grams >> np.uint64(BITS), return_inverse=True)
+            total, kinds = np.bincount(back, n), np.bincount(back)
+            spare = d * kinds / total
+            shorter = np.exp(self.shorter(k - 1, grams))
+            self.spare[k] = context, np.log(spare).astype(np.float32)
+            self.grams[k] = grams, np.log(np.maximum(n - d, 0) / total[back] + spare[back] * shorter).astype(np.float32)
 
     @staticmethod
     def discount(counts: np.ndarray) -> float:
         one, two = (counts == 1).sum(), (counts == 2).sum()
         return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
+    def shorter(self, k: int, codes: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol by the model of order ``k``."""
+        if k == 0:
+            return np.full(len(codes), -BITS * np.log(2))
+        own = tail(codes, k)
+        at = place(self.grams[k][0], own)
+        out = np.where(at >= 0, self.grams[k][1][at], 0.0)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            context = place(self.spare[k][0], own[new] >> np.uint64(BITS))
+            out[new] = np.where(context >= 0, self.spare[k][1][context], 0.0) + self.shorter(k - 1, codes[new])
+        return out
+
     def logp(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        backed = self.spare[codes >> BITS] + self.short[codes & ((1 << (BITS * (ORDER - 1))) - 1)]
-        return np.where(self.codes[at] == codes, self.logs[at], backed)
+        return self.shorter(ORDER, codes).astype(np.float32)
+
+
+class GramTable:
+    """Places of many sorted grams, most found by one look into a table of hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(8, int(4 * len(keys)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.slots[self.slot(keys)] = np.arange(len(keys))  # of two keys in one slot the later stays
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        at = self.slots[self.slot(codes)]
+        missed = np.flatnonzero((at < 0) | (self.keys[at] != codes))
+        at[missed] = place(self.keys, codes[missed])
+        return at
 
 
 class LanguageModels:
@@ -167,10 +201,9 @@ class LanguageModels:
         return {**self.__dict__, "table": None}
 
     def prepare(self) -> None:
-        """One row of log probabilities per 4-gram that any language keeps, found by a table over all codes."""
-        known = np.unique(np.concatenate([m.codes for m in self.models]))
-        self.table = np.full(1 << (BITS * ORDER), -1, np.int32)
-        self.table[known] = np.arange(len(known))
+        """One row of log probabilities per 4-gram that any language has."""
+        known = np.unique(np.concatenate([m.grams[ORDER][0] for m in self.models]))
+        self.table = GramTable(known)
         self.rows = np.stack([m.logp(known) for m in self.models], 1)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,11 +211,11 @@ class LanguageModels:
         if self.table is None:
             self.prepare()
         code, edge, letters = grams(texts)
-        at = self.table[code]
+        at = self.table.find(code)
         logs = self.rows[at]
         new = np.flatnonzero(at < 0)
         if len(new):
-            codes, back = np.unique(code[new].astype(np.int32), return_inverse=True)
+            codes, back = np.unique(code[new], return_inverse=True)
             logs[new] = np.stack([m.logp(codes) for m in self.models], 1)[back]
         n = np.diff(edge)
         return -np.add.reduceat(logs.astype(np.float64), edge[:-1], axis=0) / n[:, None], n, letters
@@ -242,14 +275,14 @@ def predict(documents: DataFrame, shared, reject: float = 0.0) -> DataFrame:
 def learn(rows: DataFrame, checked: DataFrame):
     """Broadcast models learned from ``rows`` (lang, text), with confidence calibrated on ``checked`` (lang, text).
 
-    n-grams are counted over every text on the executors; the driver gets counts per language and code, at most
-    2 ** (BITS * ORDER) codes a language whatever the size of the corpus. No languages: None.
+    n-grams are counted over every text on the executors; the driver gets one count per language and distinct 4-gram of
+    letters (20 bytes each), none left out, and sends the models to every executor. No languages: None.
     """
     counts = count_grams(rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")).toPandas()
     if not len(counts):
         return None
     langs = sorted(set(counts["lang"]))
-    models = LanguageModels(langs, [KneserNey(own["code"].to_numpy().astype(np.int64), own["n"].to_numpy()) for _, own in sorted(counts.groupby("lang"))])
+    models = LanguageModels(langs, [KneserNey(own["code"].to_numpy().view(np.uint64), own["n"].to_numpy()) for _, own in sorted(counts.groupby("lang"))])
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(models)
     said = predict(checked.filter("lang IS NOT NULL").select(F.col("lang").alias("truth"), "text"), shared).filter("lang_pred != 'und'")

@@ -382,3 +382,26 @@ def test_benchmark_windows_match_brute_force(spark):
     one = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert sorted(map(tuple, one.collect())) == sorted(want)
     assert sorted((r.doc_id, r.n_hit) for r in found.select("doc_id", "n_hit").collect()) == sorted((w[0], w[2]) for w in want)
+
+
+def test_kneser_ney_sums_to_one_and_keeps_every_gram():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("абвгдеж αβγδε漢字仮名abc") for _ in range(60)) for _ in range(50)]
+    codes, counts = np.unique(langid.grams(texts)[0], return_counts=True)
+    model = langid.KneserNey(codes, counts)
+    assert (model.grams[langid.ORDER][0] == codes).all()
+    every = np.arange(1 << langid.BITS, dtype=np.uint64)
+    for context in (0, int(codes[5]) >> 16, int(codes[-1]) >> 16, 0xFFFF00000041):  # seen and unseen contexts
+        assert np.exp(model.logp(np.uint64((context & 0xFFFFFFFFFFFF) << 16) | every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    table = langid.GramTable(codes)
+    some = np.concatenate([codes, codes + np.uint64(1)])
+    assert (table.find(some) == langid.place(codes, some)).all()
+
+
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(2)
+    letters = {"ru": "оеаинтсрвл", "el": "αοιετσνηυρ", "zh": "的一是不了人我在有他", "ja": "のにるをはてがしたと", "he": "יוהלארמבתש", "ko": "이다는을에의가고하지"}
+    rows = [(n, " ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(30)), lang) for n, (lang, s) in enumerate((x for x in letters.items() for _ in range(40)))]
+    got = {r.doc_id: (r.lang_pred, r.held_out) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i][0], lang) for i, _, lang in rows if got[i][1]]
+    assert len(held) > 20 and all(a == b for a, b in held)
