@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHasher, lower_ascii, releasing, segments, stored, text_buffer
+from .common import WordHasher, lower_ascii, releasing, segments, text_buffer
 
 #: Ids in one block of the file format.
 BLOCK = 1 << 16
@@ -237,24 +237,6 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
     from tokenizers import Tokenizer
 
     bits = width(max(vocabulary or Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1))
-    kind = "<u2" if bits <= 16 else "<u4"
-
-    def encode(batches):
-        def ready():
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "tie", "ids"])
-
-        for batch in batches:
-            out, size = ([], [], []), 0
-            for doc_id, tie, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded_texts(batch.column(2), path, end_id)):
-                for column, value in zip(out, (doc_id, tie, ids.astype(kind).tobytes())):
-                    column.append(value)
-                size += len(ids)
-                if size >= 8 * BLOCK:
-                    yield ready()
-                    out, size = ([], [], []), 0
-            if out[0]:
-                yield ready()
-
     def write(batches):
         from pyspark import TaskContext
 
@@ -277,8 +259,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
             waiting, size = [ids[cut:]], len(ids) - cut
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2)):
-                ids = np.frombuffer(ids.as_buffer(), kind).astype(np.uint32)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(batch.column(1), path, end_id)):
                 docs.append((doc_id, at, len(ids)))
                 at += len(ids)
                 waiting.append(ids)
@@ -287,11 +268,10 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
                     yield from flush(False)
         yield from flush(True)
 
-    # ids are written before they are dealt out: they are smaller than texts, and the ranges are found without encoding twice
-    rows = documents.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
-    encoded = stored(rows.mapInArrow(releasing(encode, encodes=True), "doc_id long, tie long, ids binary"))
-    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.mapInArrow(releasing(write), BLOCKS).write.option("compression", "none").parquet(folder)
+    # texts are dealt out, not ids: shuffled texts compress to about as much, and the ranges are found without encoding
+    tie = F.xxhash64("text")
+    ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ordered.mapInArrow(releasing(write, encodes=True), BLOCKS).write.option("compression", "none").parquet(folder)
 
 
 def crc_joined(parts) -> int:
