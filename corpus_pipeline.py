@@ -7,32 +7,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontam, neardup, packing, secrets, toxicity
-from plumbline.operators.materialise import ensure_checkpoint_dir
+from plumbline.operators.materialise import ensure_checkpoint_dir, leaves_with_session
 from plumbline.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the model learns from the labels of the documents that came in."""
+    """Documents predicted toxic go; the model learns from the labels of the documents that came in.
+
+    Null and empty texts are scored like any other and stay unless predicted toxic; repeated rows share their fate.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more).
+
+    Texts without words are near nothing and stay; of rows that repeat a doc_id and a text one stays.
+    """
     return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none, an empty benchmark takes nothing."""
     return decontam.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are masked in the text; every document stays."""
+    """Found secrets are masked in the text; every document stays, null and empty texts as they are."""
     return secrets.redact_secrets(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document gets its place in a sequence of at most 2048 tokens."""
+    """Every piece of every document gets its place in a sequence of at most 2048 tokens; a null or empty text is one token."""
     return packing.pack_documents(docs)
 
 
@@ -44,15 +50,15 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can say neither the learned score nor the tokenizer; tests compare the stages with brute force.
+#: SQL can say neither the learned score nor the tokenizer; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each keeps is written as Parquet in the shared checkpoint folder."""
+    """All stages on ``documents``; what each keeps is written as Parquet in the shared checkpoint folder until the session ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = leaves_with_session(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
