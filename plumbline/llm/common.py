@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.operators.materialise import ensure_checkpoint_dir
+from plumbline.operators.materialise import ensure_checkpoint_dir, leaves_with_session
 
 #: Bytes of text that one vectorised pass handles at a time; a longer text is one pass of its own.
 SEGMENT = 1 << 20
@@ -18,10 +18,8 @@ SEGMENT = 1 << 20
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there; the files go when the session ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = leaves_with_session(spark, f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}")
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

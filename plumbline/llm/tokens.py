@@ -353,11 +353,9 @@ def token_digest(documents: DataFrame, path: str | None = None, end_id: int = 2)
     """
     import uuid
 
-    from plumbline.operators.materialise import ensure_checkpoint_dir
+    from plumbline.operators.materialise import ensure_checkpoint_dir, leaves_with_session
 
     spark = documents.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    folder = leaves_with_session(spark, f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}")
     write_token_files(documents, folder, path or default_tokenizer(), end_id)
     return read_token_files(spark, folder)
