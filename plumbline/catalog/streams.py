@@ -53,6 +53,28 @@ def _(spark, d):
     return R.run_to_table(R.progress_latest(updates(event_stream(spark, d))), "complete")
 
 
+def repeated_updates(spark, d):
+    """Every fifth update comes twice."""
+    again = F.when(F.col("update_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return updates(event_stream(spark, d)).withColumn("_again", F.explode(again)).drop("_again")
+
+
+@query("distinct_updates_stream", "SELECT user_id AS validation_id, event_id AS update_id, ts, event_type AS status FROM events")
+def _(spark, d):
+    return R.run_to_table(R.distinct_updates(repeated_updates(spark, d)).select("validation_id", "update_id", "ts", "status"))
+
+
+@query("progress_latest_distinct", PROGRESS, 5, "progress_percent eta_seconds")
+def _(spark, d):
+    return R.progress_latest(R.run_to_table(R.distinct_updates(repeated_updates(spark, d))))
+
+
+@query("stream_counts", "SELECT count(*) AS input_rows, 0::BIGINT AS late_rows, count_if(event_id % 5 = 0)::BIGINT AS duplicate_rows FROM events")
+def _(spark, d):
+    counts = R.run_counted(R.distinct_updates(repeated_updates(spark, d)))[1]
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
 WINDOWS = """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, user_id, event_type, count(*) AS request_count FROM events GROUP BY ALL"""
 
 
@@ -85,6 +107,12 @@ def _(spark, d):
     return R.run_to_table(R.rate_limiter_stream(event_stream(spark, d), LIMIT, SECONDS))
 
 
+@query("ordered_limiter_stream", f"SELECT * FROM ({LIMITER}) WHERE ts < (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
+def _(spark, d):
+    with R.rocksdb_state(spark):
+        return R.run_to_table(R.ordered_limiter_stream(event_stream(spark, d), LIMIT, SECONDS))
+
+
 DRIFT = """WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT ts, least(floor((value - lo) / (hi - lo) * 20), 19)::INT AS b FROM events, r),
 base AS (SELECT b, count(*) / (SELECT count(*) FROM b) AS p FROM b GROUP BY 1), w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, b, count(*) AS n FROM b GROUP BY ALL),
 t AS (SELECT window_start, sum(n)::BIGINT AS n FROM w GROUP BY 1)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import melt, number, numeric_columns
@@ -38,6 +40,38 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_counted(stream: DataFrame, batch_seconds: float = 0.2) -> tuple[DataFrame, dict[str, int]]:
+    """``run_to_table`` in append mode with what the stream's progress says: input_rows, late_rows (dropped behind the
+    watermark) and duplicate_rows (dropped as repeated).
+
+    Late rows are counted as the stateful operator meets them; before an aggregate, rows of one group and batch are one. The
+    progress of every batch is read while the stream runs, because Spark keeps only the last hundred.
+    """
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    out = f"{base}/out"
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").start(out)
+    seen: dict[int, dict[str, int]] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(batch_seconds)
+        for p in query.recentProgress:
+            operators = p.stateOperators
+            seen[p.batchId] = {
+                "input_rows": p.numInputRows, "late_rows": sum(o.numRowsDroppedByWatermark for o in operators),
+                "duplicate_rows": sum(int(o.customMetrics.get("numDroppedDuplicateRows", 0)) for o in operators)}
+    counts = {k: sum(p[k] for p in seen.values()) for k in ("input_rows", "late_rows", "duplicate_rows")}
+    return spark.read.schema(stream.schema).parquet(out), counts
+
+
+def distinct_updates(updates: DataFrame, id_cols: Sequence[str] = ("update_id",), watermark: str = WATERMARK) -> DataFrame:
+    """Updates without those that repeat an id. A stream remembers an id for the watermark's delay after its time, so state
+    stays bounded, and forgets it then; a batch looks at all rows. Of equal ids any one row stays."""
+    if not updates.isStreaming:
+        return updates.dropDuplicates(list(id_cols))
+    return updates.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(id_cols))
+
+
 def stream_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Running statistics per column with quantiles from a mergeable sketch (complete or update mode)."""
     cols = numeric_columns(df, cols)
@@ -181,3 +215,79 @@ def rate_limiter_stream(events: DataFrame, limit: int = 100, seconds: float = 60
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SlidingLimit(StatefulProcessor):
+    """Judges the requests of one key in the order of their times once the watermark has passed them.
+
+    State: requests that wait for the watermark, and the accepted times of the last window. A timer wakes the key when its
+    first waiting request is due; another clears what is left when the window of the last accepted request has passed.
+    """
+
+    def __init__(self, limit: int, span: int, key: str, id_col: str, id_type: str):
+        self.limit, self.span, self.key, self.id_col, self.id_type = limit, span, key, id_col, id_type
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"us long, id {self.id_type}")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # a key that is only woken up comes with an empty frame
+        new = [(int(us), i) for pdf in rows if len(pdf) for us, i in zip(pdf["us"].tolist(), pdf[self.id_col].tolist())]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(us for us, _ in new) // 1000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        accepted = [us for (us,) in self.accepted.get()] if self.accepted.exists() else []
+        due, rest = [w for w in waiting if w[0] < passed], [w for w in waiting if w[0] >= passed]
+        allowed = _fold([us for us, _ in due], accepted, self.limit, self.span)
+        accepted = [us for us in accepted if us > passed - self.span]
+        for state, values in ((self.waiting, rest), (self.accepted, [(us,) for us in accepted])):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        elif accepted:
+            self.handle.registerTimer((accepted[-1] + self.span) // 1000 + 1)
+        if due:
+            times = pd.to_datetime([us for us, _ in due], unit="us", utc=True).tz_localize(None)
+            yield pd.DataFrame({self.key: [key[0]] * len(due), self.id_col: [i for _, i in due], "ts": times, "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_limiter_stream(events: DataFrame, limit: int = 100, seconds: float = 60.0, delay: str = WATERMARK, key: str = "user_id", id_col: str = "event_id") -> DataFrame:
+    """The sliding limit on a stream whose rows come late by up to ``delay``: the answers of the batch, in whatever order rows arrive.
+
+    A request is judged once the watermark has passed its time, so requests less than ``delay`` behind the last one wait; rows
+    later than the watermark are dropped and counted by ``run_counted``. State of a key goes when its window has passed. Needs
+    the RocksDB state store: run it inside ``with rocksdb_state(spark)``.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    span = int(seconds * 1_000_000)
+    prepared = events.withWatermark("ts", delay).select(key, id_col, "ts", F.unix_micros("ts").alias("us"))
+    return prepared.groupBy(key).transformWithStateInPandas(
+        SlidingLimit(limit, span, key, id_col, kind[id_col]), f"{key} {kind[key]}, {id_col} {kind[id_col]}, ts timestamp, allowed boolean", "append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
