@@ -194,7 +194,8 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; nulls, ties and repeated rows as in
+    ``find_passages``. Without documents there are no rows, without a benchmark no hits."""
     found = find_passages(documents.select("doc_id", "text"), benchmark)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

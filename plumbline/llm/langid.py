@@ -298,7 +298,8 @@ def learn(rows: DataFrame, checked: DataFrame):
 
 def identify(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Of five parts by crc32 of doc_id, part 0 is held out,
-    parts 1 to 3 teach the models and part 4 calibrates them. A null doc_id is held out. Without languages all is "und"."""
+    parts 1 to 3 teach the models and part 4 calibrates them. A null doc_id is held out; rows that repeat a doc_id are answered
+    each by itself; a null or empty text and a text without letters is "und". Without languages all is "und"."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     shared = learn(documents.filter(part.between(1, 3)), documents.filter(part == 4))
     rows = documents.select("doc_id", F.coalesce(part == 0, F.lit(True)).alias("held_out"), "text")

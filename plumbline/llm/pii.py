@@ -231,5 +231,6 @@ def with_surrogates(documents: DataFrame, key: str = "surrogates") -> DataFrame:
 
 
 def surrogates(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text with surrogates, n_pii, pii_kinds."""
+    """One row per document: doc_id, text with surrogates, n_pii, pii_kinds; nulls and repeated rows as in ``with_surrogates``,
+    no rows for an empty table."""
     return with_surrogates(documents.select("doc_id", "text"))
