@@ -86,7 +86,7 @@ def matches(spark, d):
 
 @query("match_exact_cells", MATCH_SQL, 7, "similarity")
 def _(spark, d):
-    return O._rank(O._cell_search(queries_side(spark, d), library(spark, d), 10, T, True, None), 10)
+    return O._rank(O._cell_search(queries_side(spark, d), library(spark, d), 10, T, True), 10)
 
 
 @query("match_approx")

@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import same_key_join
 from .materialise import ensure_checkpoint_dir, leaves_with_session, written
+from .products import best_products
 
 #: Vectors that a bucket holds on average if they were spread evenly, and the share of matches that may be missed.
 BUCKET, MISSED = 8, 0.02
 #: Copies of one vector that are kept as members: as many as a search may return, and the query itself.
 MEMBERS = 101
 SEED = 7
+#: Pairs that a search may look at one by one; beyond them products in blocks are cheaper, and nothing is written per pair.
+PAIRS = 2_000_000
 
 
 def shape_of(size: int, similarity: float, probes: int) -> tuple[int, int]:
@@ -33,6 +36,12 @@ def shape_of(size: int, similarity: float, probes: int) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(MISSED) / math.log(1 - met)))
 
 
+def pairs_of(queries: int, size: int, probes: int, similarity: float = 0.7) -> float:
+    """Pairs that ``queries`` meet in an index of ``size`` vectors, if these were spread evenly."""
+    bits, tables = shape_of(size, similarity, probes)
+    return queries * min(1.0 * size, tables * (1 + min(probes, bits)) * size / 2**bits)
+
+
 @dataclass
 class SignatureIndex:
     """Tables in ``folder``: meta (one row), vectors (node, vector), members (node, signature_id) and codes (node, code, by table).
@@ -103,15 +112,29 @@ class SignatureIndex:
         asked = self.coded(queries, self.probes).withColumnRenamed("node", "query")
         return asked.join(codes, ["table", "code"]).select("query", "node").distinct()
 
+    def meets_many(self, queries: DataFrame) -> bool:
+        """Whether the buckets would make more than ``PAIRS`` pairs with ``queries`` (node, vector), counted by bucket sizes."""
+        codes = self.spark.read.schema("code long, table int").parquet(f"{self.folder}/codes").groupBy("table", "code").agg(F.count("*").alias("_there"))
+        asked = self.coded(queries, self.probes).groupBy("table", "code").agg(F.count("*").alias("_here"))
+        met = asked.join(codes, ["table", "code"]).agg(F.sum(F.col("_here").cast("double") * F.col("_there")).alias("met")).head()["met"]
+        return (met or 0) > PAIRS
+
     def search(self, queries: DataFrame, k: int, threshold: float, exclude_self: bool = False) -> DataFrame:
         """query_id, signature_id, similarity, rank: at most ``k`` (up to 100) matches per query at or above ``threshold``.
 
-        ``queries``: query_id, vector. Similarities of candidates are exact; equal ones go to the smaller id.
+        ``queries``: query_id, vector. Similarities of candidates are exact; equal ones go to the smaller id. Queries that
+        meet more than ``PAIRS`` pairs in the tables are multiplied with all stored vectors in blocks, which misses none.
         """
         if k >= MEMBERS:
             raise ValueError(f"an index answers up to {MEMBERS - 1} matches a query")
         queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
         nodes = written(queries.groupBy("vector").agg(F.min("query_id").alias("node")))
+        least = self.size * nodes.count() * self.tables * (1 + min(self.probes, self.bits)) / 2**self.bits
+        if self.dims and (least > PAIRS or self.meets_many(nodes)):
+            stored = self.spark.read.parquet(f"{self.folder}/members").join(self.spark.read.parquet(f"{self.folder}/vectors"), "node")
+            same = F.size("vector") == self.dims
+            found = best_products(queries.filter(same), stored.filter(same), k, threshold, exclude_self)
+            return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "signature_id"))).filter(F.col("rank") <= k)
         names = queries.join(nodes, "vector").select("query_id", F.col("node").alias("query"))
         library = self.spark.read.parquet(f"{self.folder}/vectors")
         pairs = self.candidates(nodes).join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("_q")), "query").join(library.withColumnRenamed("vector", "_l"), "node")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import melt, numeric_columns
 from .ordered import quantiles, with_row_index
+from .products import best_products
 from .rollup import THRESHOLDS
 from .sampling import random_cap
-from .sigindex import MEMBERS, SignatureIndex, temporary_index
+from .sigindex import MEMBERS, PAIRS, SignatureIndex, pairs_of, temporary_index
 
 # Layout of the raw vector and the limits of the matching rules.
 DIMENSIONS = list(THRESHOLDS)
@@ -31,11 +31,11 @@ SIMILAR_WITHIN = 15.0
 MISSING_CURRENT = 75.0
 EMA_ALPHA = 0.1
 
-# A library of at most this many vectors travels with the tasks; a larger one is searched by cells.
+# A library of more vectors than this comes in cells around pivots; library rows of one product and queries of one task.
 LOCAL_ROWS = 20_000
 PIVOTS = 128
 LIBRARY_BLOCK = 4_096
-QUERY_BLOCK = 20_000
+QUERY_BLOCK = 65_536
 
 
 def norm(v: Column) -> Column:
@@ -110,24 +110,10 @@ def choose_strategy(size: int) -> str:
     return "hybrid" if size < HYBRID_BELOW else "approximate"
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int, threshold: float):
-    """Indices of the k best library rows per query; ties go to the smaller id."""
-    rounded = np.round(sims, 9)
-    order = np.lexsort((np.broadcast_to(ids, sims.shape), -rounded), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(sims)), order.shape[1])
-    flat = order.ravel()
-    keep = sims[rows, flat] >= threshold
-    return rows[keep], flat[keep]
-
-
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def _types(queries: DataFrame, library: DataFrame):
-    return queries.schema["query_id"].dataType.simpleString(), library.schema["signature_id"].dataType.simpleString()
-
-
 def _rank(candidates: DataFrame, k: int) -> DataFrame:
     """Final k per query; a query brings at most k rows per block it visited."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "signature_id")
@@ -139,23 +125,30 @@ def match_exact(
 ) -> DataFrame:
     """Top k cosine matches at or above the threshold: query_id, signature_id, similarity, rank.
 
-    Inputs have unit vectors in ``vector``. A library of checked size is multiplied against batches of
-    queries. A larger one is cut into cells around sampled pivots, and the triangle inequality on angles
-    tells which cells can hold a match, so the result is the same. In many dimensions nearly every cell can, so exact search
-    in a large library compares nearly all pairs: use ``match_approx`` there.
+    Inputs have unit vectors in ``vector``. Queries are dealt to tasks and multiplied with the library block by block. A library
+    beyond a checked size comes in cells around sampled pivots, and the triangle inequality on angles tells which cells can hold
+    a match, so the result is the same. In many dimensions nearly every cell can, so exact search of a whole large library in
+    itself compares nearly all pairs: its time grows with the square, what it holds and writes does not.
     """
     if library.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
-        return _rank(_local_search(queries, library, k, threshold, exclude_self), k)
-    return _rank(_cell_search(queries, library, k, threshold, exclude_self, None), k)
+        return _rank(best_products(queries, library, k, threshold, exclude_self, None, LIBRARY_BLOCK, QUERY_BLOCK), k)
+    return _rank(_cell_search(queries, library, k, threshold, exclude_self), k)
 
 
 def match_approx(
     queries: DataFrame, library: DataFrame | SignatureIndex, k: int = TOP_K, threshold: float = MATCH_THRESHOLD,
     probes: int = 8, exclude_self: bool = False,
 ) -> DataFrame:
-    """Approximate matches from hash tables of random projections; ``library`` is a stored index, or is indexed first."""
-    index = library if isinstance(library, SignatureIndex) else temporary_index(library, probes)
-    return index.search(queries, k, threshold, exclude_self)
+    """Approximate matches from hash tables of random projections; ``library`` is a stored index, or is indexed first.
+
+    So many queries that the tables would make more pairs than ``sigindex.PAIRS`` are multiplied with the library in blocks
+    instead, which finds every match and writes no pairs; a library is then not indexed at all.
+    """
+    if isinstance(library, SignatureIndex):
+        return library.search(queries, k, threshold, exclude_self)
+    if k < MEMBERS and pairs_of(queries.count(), library.count(), probes) > PAIRS:
+        return _rank(best_products(queries, library, k, threshold, exclude_self), k)
+    return temporary_index(library, probes).search(queries, k, threshold, exclude_self)
 
 
 def match_hybrid(
@@ -167,101 +160,9 @@ def match_hybrid(
     return near.filter((F.col("rank") <= k) & (F.col("similarity") >= threshold))
 
 
-def _local_search(queries, library, k, threshold, exclude_self):
-    local = library.select("signature_id", "vector").toPandas()  # size checked by the caller
-    ids, vectors = local["signature_id"].to_numpy(), _stack(local["vector"])
-    q_type, l_type = _types(queries, library)
-
-    def search(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 1024):  # bounds the similarity block
-                part = pdf.iloc[start : start + 1024]
-                own = part["query_id"].to_numpy()
-                if not len(ids):
-                    continue
-                sims = _stack(part["vector"]) @ vectors.T
-                if exclude_self:
-                    sims[own[:, None] == ids[None, :]] = -2.0
-                rows, cols = _best(sims, ids, k, threshold)
-                yield pd.DataFrame({"query_id": own[rows], "signature_id": ids[cols], "similarity": sims[rows, cols]})
-
-    return queries.select("query_id", "vector").mapInPandas(search, f"query_id {q_type}, signature_id {l_type}, similarity double")
-
-
-def _cell_search(queries, library, k, threshold, exclude_self, probes):
-    q_type, l_type = _types(queries, library)
-    pivots = _stack(random_cap(library.select("signature_id", "vector"), PIVOTS, ["signature_id"]).toPandas()["vector"])
-
-    def place(batches):
-        for pdf in batches:
-            sims = _stack(pdf["vector"]) @ pivots.T
-            cell = sims.argmax(axis=1)
-            angle = np.arccos(np.clip(sims[np.arange(len(sims)), cell], -1, 1))
-            yield pd.DataFrame({"signature_id": pdf["signature_id"], "vector": pdf["vector"], "cell": cell, "angle": angle})
-
-    placed = library.select("signature_id", "vector").mapInPandas(
-        place, f"signature_id {l_type}, vector array<double>, cell int, angle double"
-    )
-    # one row per pivot
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
-    radius = np.array([cells[c]["radius"] if c in cells else -np.inf for c in range(len(pivots))])
-    limit = math.acos(max(-1.0, min(1.0, threshold)))
-
-    def route(batches):
-        for pdf in batches:
-            sims = np.clip(_stack(pdf["vector"]) @ pivots.T, -1, 1)
-            if probes is None:
-                # a match within the threshold angle cannot lie in a cell further away than its radius allows
-                wanted = (np.arccos(sims) - radius[None, :]) <= limit + 1e-9
-            else:
-                order = np.argsort(-np.where(np.isfinite(radius)[None, :], sims, -3), axis=1)[:, :probes]
-                wanted = np.zeros(sims.shape, bool)
-                np.put_along_axis(wanted, order, True, axis=1)
-                wanted &= np.isfinite(radius)[None, :]
-            rows, cell = np.nonzero(wanted)
-            yield pd.DataFrame({
-                "query_id": pdf["query_id"].to_numpy()[rows], "vector": pdf["vector"].to_numpy()[rows], "cell": cell.astype("int32")
-            })
-
-    routed = queries.select("query_id", "vector").mapInPandas(route, f"query_id {q_type}, vector array<double>, cell int")
-    visits = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
-
-    # hot cells are cut on both sides, so no task meets more than one library block and one query block
-    subs = {c: max(1, math.ceil(r["n"] / LIBRARY_BLOCK)) for c, r in cells.items()}
-    salts = {c: max(1, math.ceil(visits.get(c, 0) / QUERY_BLOCK)) for c in cells}
-    sub_of = F.create_map(*[x for c, n in subs.items() for x in (F.lit(c), F.lit(n))])[F.col("cell")]
-    salt_of = F.create_map(*[x for c, n in salts.items() for x in (F.lit(c), F.lit(n))])[F.col("cell")]
-    left = routed.select(
-        "query_id", "vector", "cell",
-        F.pmod(F.xxhash64("query_id"), salt_of).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), sub_of - 1)).alias("sub"),
-    )
-    right = placed.select(
-        "signature_id", "vector", "cell",
-        F.pmod(F.xxhash64("signature_id"), sub_of).cast("int").alias("sub"),
-        F.explode(F.sequence(F.lit(0), salt_of - 1)).alias("salt"),
-    )
-
-    def block(q: pd.DataFrame, lib: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "signature_id": [], "similarity": []})
-        if not len(q) or not len(lib):
-            return empty
-        ids, vectors = lib["signature_id"].to_numpy(), _stack(lib["vector"])
-        found = []
-        for start in range(0, len(q), 1024):
-            part = q.iloc[start : start + 1024]
-            own = part["query_id"].to_numpy()
-            sims = _stack(part["vector"]) @ vectors.T
-            if exclude_self:
-                sims[own[:, None] == ids[None, :]] = -2.0
-            rows, cols = _best(sims, ids, k, threshold)
-            found.append(pd.DataFrame({"query_id": own[rows], "signature_id": ids[cols], "similarity": sims[rows, cols]}))
-        return pd.concat(found)
-
-    keys = ["cell", "sub", "salt"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        block, f"query_id {q_type}, signature_id {l_type}, similarity double"
-    )
+def _cell_search(queries, library, k, threshold, exclude_self):
+    pivots = _stack(random_cap(library.select("signature_id", "vector").filter("vector IS NOT NULL"), PIVOTS, ["signature_id"]).toPandas()["vector"])
+    return best_products(queries, library, k, threshold, exclude_self, pivots if len(pivots) else None, LIBRARY_BLOCK, QUERY_BLOCK)
 
 
 # --- reading a match ------------------------------------------------------------------------------------
