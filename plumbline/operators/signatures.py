@@ -247,19 +247,19 @@ def match_advice(assessed: DataFrame) -> DataFrame:
     """At most five rows per match: the three worst historic failures, and regeneration when all signs point to it."""
     failed = F.filter(F.map_entries("dimension_scores"), lambda e: e["value"] < FAILED_BELOW)
     worst = F.slice(F.array_sort(F.transform(failed, lambda e: F.struct(e["value"].alias("s"), e["key"].alias("d")))), 1, 3)
-    base = assessed.select("query_id", "signature_id", "collapse_score", "current_scores", worst.alias("_w"))
-    rows = base.select("query_id", "signature_id", "current_scores", F.inline_outer("_w")).filter(F.col("d").isNotNull())
-    now = F.coalesce(F.try_element_at("current_scores", F.col("d")), F.lit(MISSING_CURRENT))
-    dims = rows.select(
-        "query_id", "signature_id", F.col("d").alias("dimension"),
-        F.when(now < FAILED_BELOW, "immediate_attention").otherwise("monitor").alias("advice"),
-    )
+
+    def advice(e: Column) -> Column:
+        now = F.coalesce(F.try_element_at("current_scores", e["d"]), F.lit(MISSING_CURRENT))
+        return F.struct(e["d"].alias("dimension"), F.when(now < FAILED_BELOW, "immediate_attention").otherwise("monitor").alias("advice"))
+
     values = F.map_values("current_scores")
     mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
-    again = base.filter((F.col("collapse_score") < 40) & (F.size("current_scores") > 0) & (mean < 60)).select(
-        "query_id", "signature_id", F.lit(None).cast("string").alias("dimension"), F.lit("regenerate").alias("advice")
-    )
-    return dims.unionByName(again)
+    again = (F.col("collapse_score") < 40) & (F.size("current_scores") > 0) & (mean < 60)
+    regenerate = F.array(F.struct(F.lit(None).cast("string").alias("dimension"), F.lit("regenerate").alias("advice")))
+    none = F.array().cast("array<struct<dimension:string,advice:string>>")
+    # one list per match, so the matches are found once
+    listed = F.concat(F.coalesce(F.transform(worst, advice), none), F.when(again, regenerate).otherwise(none))
+    return assessed.select("query_id", "signature_id", F.inline(listed))
 
 
 # --- upkeep ---------------------------------------------------------------------------------------------

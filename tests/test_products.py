@@ -76,3 +76,14 @@ def test_a_task_holds_few_matches_of_a_large_near_group(monkeypatch):
     assert len(rows) == 3000
     assert {(int(r), int(i)) for r, i in zip(rows, ids) if r < 600} == {p for p in brute(x, 5, 0.3) if p[0] < 600}
 
+
+def test_matches_are_found_once(vectors):
+    _, lib, queries = vectors
+    scores = F.create_map(F.lit("a"), F.lit(10.0), F.lit("b"), F.lit(90.0))
+    facts = lib.select("signature_id", F.lit(30.0).alias("collapse_score"), F.lit(1).alias("usage_count"), F.lit(0.5).alias("prediction_accuracy"), F.lit(0.1).alias("anomaly_score"), scores.alias("dimension_scores"))
+    now = queries.select("query_id", F.create_map(F.lit("a"), F.lit(20.0)).alias("current_scores"))
+    assessed = O.assess_matches(O.match_exact(queries, lib, 3, 0.7, exclude_self=True), facts, now)
+    for what, rows in ((O.match_advice, 2),):
+        out = what(assessed)
+        assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+        assert out.count() == rows * assessed.count()
