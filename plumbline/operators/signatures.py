@@ -225,9 +225,21 @@ def explain_match(assessed: DataFrame) -> DataFrame:
 
 
 def match_insights(assessed: DataFrame) -> DataFrame:
-    """Key observations per match: many agreeing dimensions, severe history, well-used pattern."""
-    agree = explain_match(assessed).groupBy("query_id", "signature_id").agg(F.count_if("matching").alias("matching_dimensions"))
-    facts = assessed.select("query_id", "signature_id", "collapse_score", "usage_count").join(agree, ["query_id", "signature_id"])
+    """Key observations per match: many agreeing dimensions, severe history, well-used pattern.
+
+    Rows of one (query, signature) count the agreeing dimensions of all of them; a match without a historic dimension gives no row.
+    """
+
+    def agrees(e: Column) -> Column:
+        now = F.coalesce(F.try_element_at("current_scores", e["key"]), F.lit(MISSING_CURRENT))
+        return F.abs(e["value"] - now) < SIMILAR_WITHIN
+
+    same = Window.partitionBy("query_id", "signature_id")
+    agree = F.size(F.filter(F.map_entries("dimension_scores"), agrees))
+    facts = assessed.filter("query_id IS NOT NULL AND signature_id IS NOT NULL").select(
+        "query_id", "signature_id", "collapse_score", "usage_count",
+        F.sum(F.when(F.size("dimension_scores") > 0, agree).cast("long")).over(same).alias("matching_dimensions"),
+    ).filter("matching_dimensions IS NOT NULL")
     return facts.select(
         "query_id", "signature_id", "matching_dimensions",
         (F.col("matching_dimensions") > 4).alias("strong_match"),

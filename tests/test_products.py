@@ -83,7 +83,8 @@ def test_matches_are_found_once(vectors):
     facts = lib.select("signature_id", F.lit(30.0).alias("collapse_score"), F.lit(1).alias("usage_count"), F.lit(0.5).alias("prediction_accuracy"), F.lit(0.1).alias("anomaly_score"), scores.alias("dimension_scores"))
     now = queries.select("query_id", F.create_map(F.lit("a"), F.lit(20.0)).alias("current_scores"))
     assessed = O.assess_matches(O.match_exact(queries, lib, 3, 0.7, exclude_self=True), facts, now)
-    for what, rows in ((O.match_advice, 2),):
+    for what, rows in ((O.match_advice, 2), (O.match_insights, 1)):
         out = what(assessed)
         assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
         assert out.count() == rows * assessed.count()
+    assert {r["matching_dimensions"] for r in O.match_insights(assessed).collect()} == {1}
