@@ -17,13 +17,15 @@ DISTANCE_SCALE = 1000.0
 SPECTRAL_THRESHOLD = 70.0
 SPECTRAL_WEIGHTS = {"spectral_similarity": 0.4, "dominant_frequency_match": 0.3, "spectral_entropy_score": 0.3}
 DEFAULT_BLOCK = 65_536
+# Rows of the blocks that are transformed at once.
+TOGETHER = 65_536
 
 
 def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block: int = DEFAULT_BLOCK, normalise: bool = False) -> DataFrame:
     """|rfft|^2 per column: validation_id, side, col, freq, power.
 
-    Rows are numbered per side, cut into blocks of ``block`` rows and transformed block by block; powers are averaged over
-    the blocks. The length is the same for sides of every size: a last block, or a side, shorter than it is padded with
+    Rows are numbered per side, cut into blocks of ``block`` rows and transformed, short blocks many at once; powers are averaged
+    over the blocks. The length is the same for sides of every size: a last block, or a side, shorter than it is padded with
     zeros, and missing values count as zero. ``normalise`` divides by the rows of the blocks, padding left out, so the
     scale depends neither on the block length nor on the number of rows.
     """
@@ -33,11 +35,13 @@ def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block:
         KEY, "side", (F.col("_row") / block).cast("long").alias("_block"), (F.col("_row") % block).cast("int").alias("_at"), *[finite(F.col(c)).alias(c) for c in cols],
     )
     names = list(cols)
+    together = max(1, TOGETHER // block)
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((block, len(names)))
-        x[pdf["_at"].to_numpy()] = pdf[names].to_numpy(dtype=float)
-        power = np.abs(np.fft.rfft(x, axis=0)) ** 2
+        own, which = np.unique(pdf["_block"].to_numpy(), return_inverse=True)
+        x = np.zeros((len(own), block, len(names)))
+        x[which, pdf["_at"].to_numpy()] = pdf[names].to_numpy(dtype=float)
+        power = (np.abs(np.fft.rfft(x, axis=1)) ** 2).sum(axis=0)
         freqs, d = power.shape
         return pd.DataFrame({
             KEY: np.repeat(pdf[KEY].iloc[0], freqs * d),
@@ -46,13 +50,14 @@ def psd(pair: DataFrame, cols: Sequence[str], order_cols: Sequence[str], block:
             "freq": np.tile(np.arange(freqs), d),
             "power": power.T.ravel(),
             "_rows": len(pdf),
+            "_blocks": len(own),
         })
 
     kind = pair.schema[KEY].dataType.simpleString()
-    parts = placed.groupBy(KEY, "side", "_block").applyInPandas(
-        transform, f"{KEY} {kind}, side string, col string, freq long, power double, _rows long"
+    parts = placed.withColumn("_some", F.floor(F.col("_block") / together)).groupBy(KEY, "side", "_some").applyInPandas(
+        transform, f"{KEY} {kind}, side string, col string, freq long, power double, _rows long, _blocks long"
     )
-    power = F.sum("power") / F.sum("_rows") if normalise else F.avg("power")
+    power = F.sum("power") / F.sum("_rows" if normalise else "_blocks")
     return parts.groupBy(KEY, "side", "col", "freq").agg(power.alias("power"))
 
 
