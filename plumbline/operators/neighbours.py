@@ -17,7 +17,7 @@ CELL_POINTS = 4_096
 MAX_CELLS = 4_096
 SAMPLED_PER_CELL = 16
 # Points of a block inside a task, and questions that one task answers about a cell.
-BLOCK = 512
+BLOCK = 128
 QUESTIONS = 20_000
 # Copies of one point beyond this many are dealt over tasks when the result returns to the rows.
 HOT_ROWS = 10_000
@@ -93,27 +93,45 @@ def reaches(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(points: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
-    """Ascending squared distances of every asked point to its k nearest points, infinite where there are fewer."""
+def nearest(points: np.ndarray, weights: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """Ascending squared distances of every asked point to its k nearest points, infinite where there are fewer; a point counts ``weights`` times."""
     out = np.full((len(asked), k), np.inf)
     if not len(points):
         return out
-    stored = [points[b] for b in blocks(points, BLOCK)]
-    low, high = np.stack([b.min(axis=0) for b in stored]), np.stack([b.max(axis=0) for b in stored])
+    plain = int(weights.max()) == 1
+    stored = blocks(points, BLOCK)
+    low, high = np.stack([points[b].min(axis=0) for b in stored]), np.stack([points[b].max(axis=0) for b in stored])
     for own in blocks(asked, BLOCK):
         if not len(own):
             continue
-        x, best = asked[own], np.full((len(own), k), np.inf)
-        apart = gaps(x, low, high)
-        for b in np.argsort(apart.min(axis=0), kind="stable"):
-            rows = np.flatnonzero(apart[:, b] <= best[:, -1] * (1 + 1e-9))
+        x, best, times = asked[own], np.full((len(own), k), np.inf), np.ones((len(own), k), int)
+        apart, radius = gaps(x, low, high), np.full(len(own), np.inf)
+        closest = apart.min(axis=0)
+        for b in np.argsort(closest, kind="stable"):
+            if closest[b] > radius.max() * (1 + 1e-9):
+                break
+            rows = np.flatnonzero(apart[:, b] <= radius * (1 + 1e-9))
             if not len(rows):
                 continue
-            d2 = np.zeros((len(rows), len(stored[b])))
+            there, w = points[stored[b]], weights[stored[b]]
+            d2 = np.zeros((len(rows), len(there)))
             for c in range(x.shape[1]):
-                d2 += (x[rows, c, None] - stored[b][None, :, c]) ** 2
-            near = np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2
-            best[rows] = np.sort(np.concatenate([best[rows], near], axis=1), axis=1)[:, :k]
+                d2 += (x[rows, c, None] - there[None, :, c]) ** 2
+            if plain:
+                near = np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2
+                best[rows] = np.sort(np.concatenate([best[rows], near], axis=1), axis=1)[:, :k]
+                radius[rows] = best[rows, -1]
+                continue
+            near = np.argpartition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
+            both = np.concatenate([best[rows], np.take_along_axis(d2, near, axis=1)], axis=1)
+            count = np.concatenate([times[rows], w[near]], axis=1)
+            order = np.argsort(both, axis=1, kind="stable")[:, :k]
+            best[rows], times[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(count, order, axis=1)
+            enough = np.argmax(np.cumsum(times[rows], axis=1) >= k, axis=1)  # k points are always enough, at worst infinite ones
+            radius[rows] = best[rows, enough]
+        if not plain:
+            at = (np.cumsum(times, axis=1)[:, :, None] <= np.arange(k)).sum(axis=1)
+            best = np.take_along_axis(best, at, axis=1)
         out[own] = best
     return out
 
@@ -152,19 +170,22 @@ def with_neighbour_distance(df: DataFrame, cols: Sequence[str], k: int, out: str
     low, high = (boxes[[f"{p}{n}" for n in names]].to_numpy(dtype=float) for p in "lh")
     sizes = boxes["_n"].to_numpy(dtype=int)
 
-    def expanded(pdf):
-        return np.repeat(pdf[names].to_numpy(dtype=float), pdf["_w"].to_numpy(), axis=0)
+    def values(pdf):
+        return pdf[names].to_numpy(dtype=float)
 
     def lists(d2):
         return [row[np.isfinite(row)] for row in np.sqrt(d2)]
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[names].to_numpy(dtype=float)
+        points, weights = values(pdf), pdf["_w"].to_numpy()
+        pdf = pdf[pdf["_w"] < want]  # of more copies each has distance zero and nothing to ask
+        x, others = values(pdf), [number[:0]] * len(pdf)
         with np.errstate(over="ignore"):
-            d2 = nearest(expanded(pdf), x, want)
-            others = []
-            for start in range(0, len(x), 256):  # bounds the table of points and boxes
-                part, radius = x[start : start + 256], d2[start : start + 256, -1].copy()
+            d2 = nearest(points, weights, x, want)
+            for own in blocks(x, 256):  # bounds the table of points and boxes
+                if not len(own):
+                    continue
+                part, radius = x[own], d2[own, -1]
                 open_ = ~np.isfinite(radius)
                 if open_.any():
                     far = reaches(part[open_], low, high)
@@ -172,12 +193,21 @@ def with_neighbour_distance(df: DataFrame, cols: Sequence[str], k: int, out: str
                     enough = np.argmax(np.cumsum(sizes[order], axis=1) >= want, axis=1)
                     bound = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough]
                     radius[open_] = np.where(sizes.sum() >= want, bound, np.inf)
-                hit = (gaps(part, low, high) <= radius[:, None] * (1 + 1e-9)) & (radius > 0)[:, None]
-                hit[:, number == pdf["_cell"].iloc[0]] = False
-                others += [number[h] for h in hit]
-        return pdf[[*names, "_p"]].assign(_near=lists(d2), _others=others)
-
-    found = materialise(located.groupBy("_cell").applyInPandas(inside, f"{columns}, _p long, _near array<double>, _others array<int>"))
+                # only cells that the box around these points reaches are compared with each of them
+                between = np.maximum(np.maximum(low - part.max(axis=0), part.min(axis=0) - high), 0.0)
+                reached = np.flatnonzero(((between**2).sum(axis=1) <= radius.max() * (1 + 1e-9)) & (number != at(pdf)))
+                hit = (gaps(part, low[reached], high[reached]) <= radius[:, None] * (1 + 1e-9)) & (radius > 0)[:, None]
+                for i in np.flatnonzero(hit.any(axis=1)):
+                    others[own[i]] = number[reached[hit[i]]]
+        closed = np.array([not len(o) for o in others], bool)
+        near = [[] if c else row for c, row in zip(closed, lists(d2))]
+        columns = {"_near": near, "_others": others}  # also of no rows they are columns of lists
+        return pdf[[*names, "_p"]].assign(_mean=np.where(closed, np.sqrt(d2).sum(axis=1) / k, np.nan), **{c: pd.Series(v, pdf.index, object) for c, v in columns.items()})
+
+    def at(pdf):
+        return pdf["_cell"].iloc[0]
+
+    found = materialise(located.groupBy("_cell").applyInPandas(inside, f"{columns}, _p long, _mean double, _near array<double>, _others array<int>"))
     asks = found.select(*names, "_p", F.explode("_others").alias("_cell"))
     chunks = asks.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / QUESTIONS).cast("int").alias("_chunks"))  # at most one row per cell
     asked = asks.join(F.broadcast(chunks), "_cell").withColumn("_chunk", F.pmod(F.xxhash64("_p"), "_chunks")).drop("_chunks")
@@ -186,16 +216,17 @@ def with_neighbour_distance(df: DataFrame, cols: Sequence[str], k: int, out: str
 
     def outside(target: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         with np.errstate(over="ignore"):
-            d2 = nearest(expanded(target), ask[names].to_numpy(dtype=float), want)
+            d2 = nearest(values(target), target["_w"].to_numpy(), values(ask), want)
         return ask[["_p"]].assign(_near=lists(d2))
 
     keys = ["_cell", "_chunk"]
     more = targets.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(outside, "_p long, _near array<double>")
-    closed = found.filter(F.size("_others") == 0).select("_p", "_near")
+    # a point without a cell to ask is done; its mean is infinite where there are too few points
+    closed = found.filter(F.size("_others") == 0).select("_p", F.col("_mean").alias(out))
     open_ = found.filter(F.size("_others") > 0).select("_p", "_near").unionByName(more)
     merged = open_.groupBy("_p").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, want).alias("_near"))
     mean = F.aggregate("_near", F.lit(0.0), lambda s, v: s + v) / k
-    sure = closed.unionByName(merged).select("_p", F.when(F.size("_near") < want, F.lit(float("inf"))).otherwise(mean).alias(out))
+    sure = closed.unionByName(merged.select("_p", F.when(F.size("_near") < want, F.lit(float("inf"))).otherwise(mean).alias(out)))
     scored = located.filter(F.col("_w") < want).select(*names, "_p").join(sure, "_p").drop("_p").withColumn("_salt", F.lit(0))
     # a point with more than k copies has distance zero; rows of frequent points are dealt over tasks and meet no score
     hot = counted.filter(F.col("_copies") > max(HOT_ROWS, k)).select(*names, F.lit(True).alias("_hot"))
