@@ -5,18 +5,25 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, extended, stored
+from .common import components, stored
 
-#: Dimensions of a block, of which the first two make its grid.
+#: Dimensions of a block.
 BLOCK_DIMS = 8
-#: Rows of one grid cell that meet in one tile; a fuller cell becomes several tiles.
-TILE = 8192
-#: Fuller cells that may be broadcast (40 bytes each).
-BROADCAST_CELLS = 100_000
+#: Rotated unit vectors travel as 16-bit integers, this many to one.
+SCALE = 32767
+#: Bytes of codes of one label and length in one tile; more become several tiles, every two of which meet in a task.
+TILE_BYTES = 64 << 20
+#: Labels with more than one tile that may be broadcast (40 bytes each).
+BROADCAST_LABELS = 100_000
+#: Keys of pairs to check again that may be broadcast.
+BROADCAST_KEYS = 100_000
+#: Rows of a box, visitors that look for their boxes at once, and dimensions compared first where all meet all.
+BOX, VISITORS, FIRST_DIMS = 100, 16384, 24
+#: About how many ns it takes to compare a visitor with a box, with a vector in a box, and with a vector where all meet all.
+NS_BOX, NS_IN_BOX, NS_ALL = 0.7, 0.6, 0.5
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -29,61 +36,55 @@ def blocks(dims: int) -> list[slice]:
     return [slice(a, min(a + BLOCK_DIMS, dims)) for a in range(0, dims, BLOCK_DIMS)]
 
 
-def unit(rows: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+def unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)  # neither overflow nor underflow in the norm
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def vector_keys(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, body (64-bit floats) and key (of label and body); body and key are null where nothing can be linked:
-    no vec_id, no label, no vector, a null or non-finite component, or all components zero."""
+def vector_keys(embeddings: DataFrame, content: str | None = None) -> DataFrame:
+    """vec_id, label and key (of label and 64-bit floats), for ``content`` "body" or "code" with those floats or their code
+    (``coded``); key and content are null where nothing can be linked: no vec_id, no label, no vector, a null or non-finite
+    component, or all components zero."""
 
     def keys(batches):
         for batch in batches:
-            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            bodies, names = [], []
-            for vec_id, vector, label in zip(ids, batch.column(1), labels):
-                body = name = None
-                if vec_id is not None and label is not None and vector.is_valid and len(vector) and not vector.values.null_count:
-                    v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if np.isfinite(v).all() and v.any():
-                        body = v.tobytes()
-                        of_label = str(label).encode()
-                        name = hashlib.blake2b(b"%d:%b%b" % (len(of_label), of_label, body), digest_size=16).digest()
-                bodies.append(body)
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else str(x) for x in labels]), pa.array(bodies, pa.binary()), pa.array(names, pa.binary())], names=["vec_id", "label", "body", "key"])
-
-    return embeddings.select("vec_id", "embedding", "label").mapInArrow(keys, "vec_id long, label string, body binary, key binary")
-
-
-def placed(classes: DataFrame, limit: float) -> DataFrame:
-    """Rows label, dims, block, x, y, home: for every block the grid cells of its first two coordinates that a vector's
-    range can reach. Cells are as wide as a range, so there are at most four; one of them is its home."""
-
-    def place(batches):
-        for batch in batches:
-            parts, size = [], np.array([len(b) // 8 for b in batch.column("body").to_pylist()])
-            for dims in np.unique(size):
+            ids, vectors, labels = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            names, contents = [None] * batch.num_rows, [None] * batch.num_rows
+            starts = vectors.offsets.to_numpy()
+            size = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
+            size[~ids.is_valid().to_numpy(zero_copy_only=False) | ~batch.column(2).is_valid().to_numpy(zero_copy_only=False)] = 0
+            values, there = vectors.values.to_numpy(zero_copy_only=False), vectors.values.is_valid().to_numpy(zero_copy_only=False)
+            of_label = {x: b"%d:%b" % (len(y := str(x).encode()), y) for x in set(labels)}
+            for dims in np.unique(size[size > 0]):
                 own = np.flatnonzero(size == dims)
-                turned = unit(batch.column("body").take(pa.array(own)).to_pylist()) @ rotation(int(dims))
-                for b, s in enumerate(blocks(int(dims))):
-                    reach = np.sqrt(limit * (s.stop - s.start) / dims) + 1e-9
-                    pair = np.zeros((len(own), 2))
-                    pair[:, : min(2, s.stop - s.start)] = turned[:, s][:, :2]
-                    home, low, high = (np.floor(v / (2 * reach)).astype(np.int32) for v in (pair, pair - reach, pair + reach))
-                    for i in (0, 1, 2):
-                        for j in (0, 1, 2):
-                            x, y = low[:, 0] + i, low[:, 1] + j
-                            ok = np.flatnonzero((x <= high[:, 0]) & (y <= high[:, 1]))
-                            parts.append((own[ok], np.full(len(ok), dims, np.int32), np.full(len(ok), b, np.int32), x[ok], y[ok], (x[ok] == home[ok, 0]) & (y[ok] == home[ok, 1])))
-            if parts:
-                own, *rest = (np.concatenate(c) for c in zip(*parts))
-                taken = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, rest)], names=[*batch.schema.names, "dims", "block", "x", "y", "home"])
-
-    return classes.mapInArrow(place, extended(classes.schema, "dims int, block int, x int, y int, home boolean"))
+                cells = starts[own][:, None] + np.arange(dims)
+                own, cells = own[ok := there[cells].all(1)], cells[ok]
+                v = values[cells].astype(np.float64) + 0.0
+                own, v = own[ok := np.isfinite(v).all(1) & v.any(1)], v[ok]
+                if not len(own):
+                    continue
+                kept = coded(v) if content == "code" else v
+                for i, x, y in zip(own.tolist(), v, kept):
+                    names[i] = hashlib.blake2b(of_label[labels[i]] + x.tobytes(), digest_size=16).digest()
+                    if content:
+                        contents[i] = y.tobytes()
+            columns = {"vec_id": ids, "label": pa.array([None if x is None else str(x) for x in labels], pa.string()), "key": pa.array(names, pa.binary())}
+            if content:
+                columns[content] = pa.array(contents, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "vec_id long, label string, key binary" + (f", {content} binary" if content else "")
+    return embeddings.select("vec_id", "embedding", "label").mapInArrow(keys, schema)
+
+
+def coded(v: np.ndarray) -> np.ndarray:
+    """Unit vectors, rotated, in steps of 1 / SCALE. A distance of codes is off by at most ``code_error``."""
+    return np.rint(unit(v) @ rotation(v.shape[1]) * SCALE).astype(np.int16)
+
+
+def code_error(dims: int) -> float:
+    """Half a step in each component of both vectors."""
+    return np.sqrt(dims) / SCALE + 1e-9
 
 
 def local_labels(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
@@ -99,61 +100,275 @@ def local_labels(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
             break
     return label
 
+def packed(classes: DataFrame) -> DataFrame:
+    """Pages label, dims, c, part, nodes, mults, keys, codes: rows of one tile that a task has at once, as byte strings."""
 
-def join_blocks(rows: DataFrame, cosine: float) -> DataFrame:
-    """node, links (vectors linked in this tile), low (smallest node of its links' component there).
-
-    In a tile, visitors meet the vectors at home. A pair within the block's budget is a candidate; it is checked by its
-    cosine and counted in the first block whose budget it meets, so every pair counts once and none leaves the task.
+    def pack(batches):
+        for batch in batches:
+            dims, part = batch.column("dims").to_numpy(), batch.column("part").to_numpy()
+            label = batch.column("label").dictionary_encode().indices.to_numpy()
+            order = np.lexsort((part, dims, label))
+            last = np.stack([label[order], dims[order], part[order]])
+            cuts = [0, *(np.flatnonzero((last[:, 1:] != last[:, :-1]).any(0)) + 1).tolist(), len(order)] if len(order) else []
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = batch.take(pa.array(order[a:b]))
+                numbers = [own.column(c).to_numpy().astype(np.int64).tobytes() for c in ("node", "mult")]
+                out.append([*(own.column(c)[0].as_py() for c in ("label", "dims", "c", "part")), *numbers, *(b"".join(own.column(c).to_pylist()) for c in ("key", "code"))])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["label", "dims", "c", "part", "nodes", "mults", "keys", "codes"])
+
+    return classes.mapInArrow(pack, "label string, dims int, c int, part int, nodes binary, mults binary, keys binary, codes binary")
+
+
+class Grid:
+    """Boxes of vectors between quantiles of each component, about ``BOX`` vectors in one: rows ``first[b]`` to
+    ``first[b + 1]`` of ``order`` lie in box b."""
+
+    def __init__(self, v: np.ndarray):
+        parts, sides, number = [1] * v.shape[1], [], np.zeros(len(v), np.int64)
+        d = 0
+        while np.prod(parts, dtype=float) * (parts[d] + 1) / parts[d] <= len(v) / BOX:
+            parts[d] += 1
+            d = (d + 1) % len(parts)
+        some = v[:: max(1, len(v) >> 16)]
+        for d, n in enumerate(parts):
+            cuts = np.quantile(some[:, d], np.arange(1, n) / n).astype(np.float32)
+            number = number * n + np.searchsorted(cuts, v[:, d])
+            sides.append((np.concatenate([[-np.inf], cuts]).astype(np.float32), np.concatenate([cuts, [np.inf]]).astype(np.float32)))
+        self.order = np.argsort(number, kind="stable")
+        number, first = np.unique(number[self.order], return_index=True)
+        self.first, self.sides = np.append(first, len(v)), sides
+        self.held = np.concatenate([np.eye(n, dtype=np.float32)[i] for n, i in zip(parts, np.unravel_index(number, parts))], 1)
+
+    def gaps(self, v: np.ndarray) -> np.ndarray:
+        """Squared distances from the sides of every component; ``held @ gaps`` are those from the boxes."""
+        return np.concatenate([np.maximum(0, np.maximum(low - v[:, d : d + 1], v[:, d : d + 1] - high)) ** 2 for d, (low, high) in enumerate(self.sides)], 1).T
+
+
+class Room:
+    """Memory for one product at a time."""
+
+    def __init__(self):
+        self.far, self.near = np.empty(1 << 18, np.float32), np.zeros(1 << 18, bool)
+
+    def meet(self, guests: np.ndarray, homes: np.ndarray, budget: float):
+        """Pairs of rows at a squared distance of at most ``budget``; rows are ``sided``."""
+        for b in range(0, len(homes), 1024):
+            h = homes[b : b + 1024].T
+            width = h.shape[1]
+            step = len(self.far) // width
+            for a in range(0, len(guests), step):
+                g = guests[a : a + step]
+                size = len(g) * width
+                np.less_equal(np.matmul(g, h, out=self.far[:size].reshape(-1, width)).ravel(), budget, out=self.near[:size])
+                i = self.places(size)
+                if len(i):
+                    yield a + i // width, b + i % width
+
+    def places(self, size: int) -> np.ndarray:
+        """Where ``near`` holds, eight bytes at once."""
+        end = -(-size // 8) * 8
+        self.near[size:end] = False
+        words = np.flatnonzero(self.near[:end].view(np.uint64))
+        if len(words) > end >> 6:
+            return np.flatnonzero(self.near[:size])
+        i, j = np.nonzero(self.near[:end].reshape(-1, 8)[words])
+        return words[i] * 8 + j
+
+
+def sided(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows hold as guests and as homes, so that the product of both is a squared distance."""
+    square, one = (v * v).sum(1, keepdims=True), np.ones((len(v), 1), np.float32)
+    return np.concatenate([v, square, one], 1), np.concatenate([-2 * v, one, square], 1)
+
+
+def floats(codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return codes.take(columns, 1).astype(np.float32, order="C") / np.float32(SCALE)
+
+
+def near_pairs(home: np.ndarray, guest: np.ndarray, same: bool, reach: float):
+    """(start, i, j): guests i and homes j among which are all at a distance of ``reach`` or less, ``same`` if both are one table.
+
+    A pair comes with the start it was found from, -1 if all met all. Around the ring of blocks there is one, the start, from
+    which on the squared distances of the first, of the first two and so on are within the blocks' shares. So a guest meets
+    the boxes that its share of the first block reaches, and stays if it is within the first two shares in both blocks.
+    """
+    dims = home.shape[1]
+    parts = blocks(dims)
+    share = lambda *of: float(reach**2 * sum(s.stop - s.start for s in of) / dims + 1e-5)
+    columns = lambda *of: np.concatenate([np.arange(s.start, s.stop) for s in of])
+    room = Room()
+    taken = np.empty((VISITORS, 0), np.float32)
+    for k, own in enumerate(parts if len(parts) > 1 else ()):
+        after = parts[(k + 1) % len(parts)]
+        h = floats(home, columns(own, after))
+        width = own.stop - own.start
+        grid = Grid(h[:, :width])
+        if k == 0:
+            asked = floats(guest[:: max(1, len(guest) // 200)], columns(own))
+            reached = ((grid.held @ grid.gaps(asked) <= share(own)) * np.diff(grid.first)[:, None]).sum(0).mean()
+            if len(parts) * (NS_BOX * len(grid.held) + NS_IN_BOX * reached) > NS_ALL * len(home):
+                break
+        homes = sided(h[grid.order])[1]
+        place = grid.order if same else np.arange(len(guest))
+        for a in range(0, len(guest), VISITORS):
+            g = floats(guest[place[a : a + VISITORS]], columns(own, after))
+            gaps, guests = grid.gaps(g[:, :width]), sided(g)[0]
+            if taken.shape[1] != guests.shape[1]:
+                taken = np.empty((VISITORS, guests.shape[1]), np.float32)
+            last = int(np.searchsorted(grid.first[:-1], a + len(g))) if same else len(grid.held)
+            for b in range(0, last, 32):
+                reached = grid.held[b : b + 32] @ gaps <= share(own)
+                for box in range(b, min(b + 32, last)):
+                    low, high = grid.first[box], grid.first[box + 1]
+                    own_guests = np.flatnonzero(reached[box - b])
+                    if same and low > a:
+                        own_guests = own_guests[np.searchsorted(own_guests, low - a) :]
+                    for i, j in room.meet(guests.take(own_guests, 0, out=taken[: len(own_guests)], mode="clip"), homes[low:high], share(own, after)):
+                        i, j = a + own_guests[i], low + j
+                        if same:
+                            i, j = i[i > j], j[i > j]
+                        yield k, place[i], grid.order[j]
+    else:
+        if len(parts) > 1:
+            return
+    first = np.arange(min(dims, FIRST_DIMS))
+    homes = sided(floats(home, first))[1]
+    for a in range(0, len(guest), 1024):
+        guests = sided(floats(guest[a : a + 1024], first))[0]
+        for i, j in room.meet(guests, homes[: a + 1024] if same else homes, share(slice(0, dims))):
+            i = a + i
+            yield -1, *((i[i > j], j[i > j]) if same else (i, j))
+
+
+def compared(home: np.ndarray, guest: np.ndarray, same: bool, limit: float):
+    """(i, j, sure): all pairs of guests and homes with a squared distance of at most ``limit``, each once; a pair whose codes
+    do not tell is not sure. Sums of squares of whole numbers are exact, so a pair's start is the same wherever it is found."""
+    dims = home.shape[1]
+    parts, root, error = blocks(dims), np.sqrt(limit), code_error(dims)
+    starts = [s.start for s in parts]
+    share = (root + error) ** 2 * np.array([s.stop - s.start for s in parts]) / dims * (1 + 1e-12) + 1e-12
+    both = share + np.roll(share, -1) if len(parts) > 1 else share
+
+    def checked(k, i, j):
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            square = np.add.reduceat((guest[x].astype(np.float64) - home[y]) ** 2, starts, axis=1)
+            if k >= 0:
+                two = (square + np.roll(square, -1, 1) if len(parts) > 1 else square) / SCALE**2
+                ok = (square / SCALE**2 <= share) & (two <= both)
+                ok = ok.any(1) & (ok.argmax(1) == k)
+                x, y, square = x[ok], y[ok], square[ok]
+            far = np.sqrt(square.sum(1)) / SCALE
+            ok = far <= root + error
+            yield x[ok], y[ok], far[ok] < root - error
+
+    waiting, n, now = [], 0, -1
+    for k, i, j in near_pairs(home, guest, same, root + error):
+        if n and (k != now or n > 1 << 16):
+            yield from checked(now, *(np.concatenate(z) for z in zip(*waiting)))
+            waiting, n = [], 0
+        now = k
+        waiting.append((i, j))
+        n += len(i)
+    if n:
+        yield from checked(now, *(np.concatenate(z) for z in zip(*waiting)))
+
+
+def join_tiles(pages: DataFrame, groups: int, cosine: float) -> DataFrame:
+    """node, links (vectors linked in this tile), low (smallest node of its links' component there), key, other.
+
+    Rows with key and other, two for each pair, are of pairs whose codes do not tell; their vectors have to be compared.
     """
     limit = 2 - 2 * cosine
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        node, mult, dims, block = pdf["node"].to_numpy(), pdf["mult"].to_numpy(), int(pdf["dims"][0]), int(pdf["block"][0])
-        v = unit(pdf["body"].tolist())
-        turned, parts = v @ rotation(dims), blocks(dims)
-        home, guest = np.flatnonzero(pdf["as_home"].to_numpy()), np.flatnonzero(pdf["as_guest"].to_numpy())
-        budget = [limit * (s.stop - s.start) / dims + 1e-9 for s in parts]
-        squares = [(turned[:, s] ** 2).sum(1) for s in parts]
-        one, two = [], []
-        step = max(1, (1 << 22) // max(1, len(home)))
-        for a in range(0, len(guest), step):
-            g = guest[a : a + step]
-
-            def far(k, g=g):
-                s = parts[k]
-                return squares[k][g][:, None] + squares[k][home][None, :] - 2 * turned[g][:, s] @ turned[home][:, s].T
-
-            i, j = np.nonzero((far(block) <= budget[block]) & (node[g][:, None] < node[home][None, :]))
-            i, j = g[i], home[j]
-            for b in range(0, len(i), 1 << 16):
-                x, y = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
-                ok = (v[x] * v[y]).sum(1) >= cosine
-                x, y = x[ok], y[ok]
-                first = np.ones(len(x), bool)
-                for k in range(block):
-                    first &= ((turned[x][:, parts[k]] - turned[y][:, parts[k]]) ** 2).sum(1) > budget[k]
-                one.append(x[first])
-                two.append(y[first])
-        one, two = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (one, two))
-        n = len(node)
-        links = np.bincount(one, mult[two], n) + np.bincount(two, mult[one], n)
+    def tile(dims, i, j, pages):
+        parts = []
+        for part in dict.fromkeys((i, j)):
+            own = [p for p in pages if p[0] == part]
+            nodes, mults, keys, codes = (b"".join(p[c] for p in own) for c in (1, 2, 3, 4))
+            parts.append((np.frombuffer(nodes, np.int64), np.frombuffer(mults, np.int64), np.frombuffer(keys, "V16"), np.frombuffer(codes, np.int16).reshape(-1, dims)))
+        pages.clear()
+        guest, home = parts[0], parts[-1]
+        if not len(guest[0]) or not len(home[0]):
+            return
+        shift = 0 if i == j else len(guest[0])
+        node, mult, key = (np.concatenate([p[c] for p in parts]) for c in (0, 1, 2))
+        links, label, doubts = np.zeros(len(node), np.int64), np.arange(len(node)), []
+        one, two, n = [], [], 0
+
+        def joined():
+            return local_labels(label[np.concatenate(one)], label[np.concatenate(two)], len(node))[label] if one else label
+
+        for x, y, sure in compared(home[3], guest[3], i == j, limit):
+            y = y + shift
+            ok = node[x] != node[y]
+            x, y, sure = x[ok], y[ok], sure[ok]
+            if not sure.all():
+                a, b = x[~sure], y[~sure]
+                doubts.append((np.append(a, b), np.append(b, a)))
+            x, y = x[sure], y[sure]
+            np.add.at(links, x, mult[y])
+            np.add.at(links, y, mult[x])
+            one.append(x)
+            two.append(y)
+            n += len(x)
+            if n > 1 << 20:
+                label = joined()
+                one, two, n = [], [], 0
+        label = joined()
+        low = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, node)
         seen = np.flatnonzero(links > 0)
-        return pd.DataFrame({"node": node[seen], "links": links[seen].astype(np.int64), "low": node[local_labels(one, two, n)][seen]})
+        yield node[seen], links[seen], low[label[seen]], None, None
+        if doubts:
+            x, y = (np.concatenate(z) for z in zip(*doubts))
+            yield node[x], mult[y], np.minimum(node[x], node[y]), key[x], key[y]
 
-    return rows.groupBy("label", "dims", "block", "x", "y", "hc", "gc").applyInPandas(compare, "node long, links long, low long")
+    def join(batches):
+        now, pages = None, []
 
+        def found():
+            for *numbers, key, other in tile(*now[1:], pages):
+                for a in range(0, len(numbers[0]), 10_000):
+                    names = [pa.nulls(len(numbers[0][a : a + 10_000]), pa.binary()) if x is None else pa.array([z.tobytes() for z in x[a : a + 10_000]], pa.binary()) for x in (key, other)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 10_000]) for x in numbers), *names], names=["node", "links", "low", "key", "other"])
 
-def tiled(cells: DataFrame) -> DataFrame:
-    """Cells with more than ``TILE`` rows become tiles: part of those at home against part of the visitors."""
-    full = stored(cells.groupBy("label", "dims", "block", "x", "y").count().filter(F.col("count") > TILE).withColumn("c", F.ceil(F.col("count") / TILE).cast("int")).drop("count"))
-    cells = cells.join(F.broadcast(full) if full.count() <= BROADCAST_CELLS else full, ["label", "dims", "block", "x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("node"), "c").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    as_guest = F.struct(F.col("k").alias("hc"), F.col("own").alias("gc"), (F.col("home") & (F.col("k") == F.col("own"))).alias("as_home"), F.lit(True).alias("as_guest"))
-    as_home = F.struct(F.col("own").alias("hc"), F.col("k").alias("gc"), F.lit(True).alias("as_home"), F.lit(False).alias("as_guest"))
-    both = F.when(F.col("home") & (F.col("k") != F.col("own")), F.array(as_guest, as_home)).otherwise(F.array(as_guest))
-    return cells.withColumn("t", F.explode(both)).select("label", "dims", "block", "x", "y", "t.*", "node", "mult", "body")
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "dims", "i", "j", "part", "nodes", "mults", "keys", "codes"))):
+                if row[:4] != now:
+                    if now:
+                        yield from found()
+                    now, pages = row[:4], []
+                pages.append(row[4:])
+        if now:
+            yield from found()
+
+    tiles = ["label", "dims", "i", "j"]
+    each = pages.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k")).drop("c", "k")
+    count = max(1, min(8 * groups, 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return each.repartition(count, *tiles).sortWithinPartitions(*tiles).mapInArrow(join, "node long, links long, low long, key binary, other binary")
+
+
+def checked_pairs(doubts: DataFrame, embeddings: DataFrame, cosine: float) -> DataFrame:
+    """Of the rows of pairs whose codes do not tell (key, other), those of vectors linked at ``cosine`` or more."""
+
+    def check(batches):
+        for batch in batches:
+            one, two = (batch.column(c).to_pylist() for c in ("one", "two"))
+            size, ok = np.array([len(x) for x in one]), np.zeros(len(one), bool)
+            for length in np.unique(size):
+                own = np.flatnonzero(size == length)
+                v, w = (unit(np.frombuffer(b"".join(x[i] for i in own), np.float64).reshape(len(own), -1)) for x in (one, two))
+                ok[own] = (v * w).sum(1) >= cosine
+            yield batch.drop_columns(["one", "two"]).filter(pa.array(ok))
+
+    wanted = stored(doubts.select("key").distinct())
+    bodies = vector_keys(embeddings, "body").select("key", "body").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key")
+    bodies = stored(bodies.groupBy("key").agg(F.first("body").alias("body")))
+    pairs = doubts.join(bodies.withColumnRenamed("body", "one"), "key").join(bodies.select(F.col("key").alias("other"), F.col("body").alias("two")), "other")
+    return pairs.select(*doubts.columns, "one", "two").mapInArrow(check, doubts.schema)
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
@@ -163,16 +378,29 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     distance of at most 2 - 2 * cosine; in some block of their rotated dimensions it is at most that block's share, so the
     union of the blocks' range joins holds every pair. Equal vectors are one class however many there are. What
     ``vector_keys`` calls unlinkable has no links and is its own component (null without vec_id, and kept).
+
+    Classes travel as 16-bit codes, once for every tile of their label; all blocks are joined in the tiles' task. A pair too
+    close to ``cosine`` for the codes to tell is compared in full.
     """
-    rows = stored(vector_keys(embeddings))
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("body").alias("body"))
-    classes = stored(classes)
-    found = stored(join_blocks(tiled(placed(classes.select("node", "mult", "label", "body"), 2 - 2 * cosine)), cosine))
+    linkable = vector_keys(embeddings, "code").filter("key IS NOT NULL")
+    classes = stored(linkable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("code").alias("code")))
+    rows = vector_keys(embeddings).select("vec_id", "key")
+    named = stored(rows.join(classes.select("key", "node", "mult"), "key", "left").select("vec_id", "node", "mult"))
+    sized = classes.withColumn("dims", (F.length("code") / 2).cast("int"))
+    tiles = stored(sized.groupBy("label", "dims").count().select("label", "dims", F.ceil(F.col("count") * F.col("dims") * 2 / TILE_BYTES).cast("int").alias("c")))
+    groups = tiles.agg(F.sum(F.col("c") * (F.col("c") + 1) / 2)).head()[0] or 0
+    full = tiles.filter("c > 1")
+    sized = sized.join(F.broadcast(full) if full.count() <= BROADCAST_LABELS else full, ["label", "dims"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    pages = packed(sized.withColumn("part", F.pmod(F.xxhash64("key"), "c").cast("int")))
+    found = stored(join_tiles(pages, int(groups), cosine))
+    doubts = found.filter("key IS NOT NULL")
+    if doubts.limit(1).count():
+        found = found.filter("key IS NULL").unionByName(stored(checked_pairs(doubts, embeddings, cosine)))
     # rows that share a vec_id are one vector, with either of its classes' links
-    same = rows.filter("key IS NOT NULL").join(classes.select("key", "node"), "key").filter("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")).distinct()
+    same = named.filter("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(found.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(same))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = rows.join(classes.select("key", "node", "mult"), "key", "left").join(links, "node", "left")
-    named = named.join(labels.select(F.col("node").alias("vec_id"), "label").withColumnRenamed("label", "component"), "vec_id", "left")
+    named = named.join(links, "node", "left")
+    named = named.join(labels.select(F.col("node").alias("vec_id"), F.col("label").alias("component")), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return named.select("vec_id", (F.coalesce(F.col("mult") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

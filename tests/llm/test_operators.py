@@ -1,12 +1,16 @@
 """Operators against brute force, round trips and held-out rows, with null, empty, long, tied and clashing inputs."""
 
 import collections
+import contextlib
 import hashlib
 import random
 import re
+import threading
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("plumbline.llm")
@@ -279,6 +283,74 @@ def test_vectors_match_brute_force(spark):
     assert got == want and link.sum() > 100
 
 
+def brute_links(v, label, cosine=0.93):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = ((u[:, None] * u[None]).sum(2) >= cosine) & (label[:, None] == label) & ~np.eye(len(v), dtype=bool)
+    low = np.arange(len(v))
+    while (low != (less := np.minimum(low, np.where(link, low, len(v)).min(1)))).any():
+        low = less
+    return link, low
+
+
+def test_vectors_in_many_tiles_and_close_to_the_limit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((30, 12))[rng.integers(0, 30, 500)] + 0.2 * rng.standard_normal((500, 12))
+    for i, step in enumerate((-1e-5, -1e-7, -1e-9, 1e-9, 1e-7, 1e-5)):  # pairs that 16 bits cannot tell
+        one, two = np.linalg.qr(rng.standard_normal((12, 2)))[0].T
+        v[2 * i], v[2 * i + 1] = 100 * one, (0.93 + step) * one + np.sqrt(1 - (0.93 + step) ** 2) * two
+    v[490:] = v[100]
+    label = np.arange(500) % 2 * (np.arange(500) > 20)
+    link, low = brute_links(v, label)
+    rows = [(i, [float(c) for c in x], str(y)) for i, (x, y) in enumerate(zip(v, label))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    want = [(i, int(link[i].sum()), int(low[i]), bool(low[i] == i)) for i in range(500)]
+    for room in (vectors.TILE_BYTES, 1000):
+        monkeypatch.setattr(vectors, "TILE_BYTES", room)
+        assert sorted(map(tuple, vectors.near_vectors(frame).collect())) == want
+
+
+@pytest.mark.parametrize("dims", [2, 8, 13, 64])
+def test_every_pair_of_vectors_is_found_once(monkeypatch, dims):
+    rng = np.random.default_rng(dims)
+    v = rng.standard_normal((60, dims))[rng.integers(0, 60, 600)] + rng.choice([0.03, 0.25], (600, 1)) * rng.standard_normal((600, dims))
+    link, _ = brute_links(v, np.zeros(600))
+    code = vectors.coded(v)
+    monkeypatch.setattr(vectors, "BOX", 7)
+    monkeypatch.setattr(vectors, "VISITORS", 100)
+    for all_meet in (0, 1e9):
+        monkeypatch.setattr(vectors, "NS_ALL", all_meet)
+        for home, guest, same, shift in ((code, code, True, 0), (code[250:], code[:250], False, 250)):
+            got = [(*sorted((x, y + shift)), z) for i, j, sure in vectors.compared(home, guest, same, 0.14) for x, y, z in zip(i.tolist(), j.tolist(), sure.tolist())]
+            inside = lambda x, y: same or (x < 250) != (y < 250)  # noqa: B023, E731
+            want = {(x, y) for x, y in zip(*map(lambda z: z.tolist(), np.nonzero(link))) if x < y and inside(x, y)}
+            assert len({(x, y) for x, y, _ in got}) == len(got) and len(want) > 10
+            assert {(x, y) for x, y, z in got if z} <= want <= {(x, y) for x, y, _ in got}
+
+
+def test_vectors_do_not_travel_once_a_block(spark):
+    """Bytes of shuffle files, looked at again and again while they are there."""
+    folders = [Path(d.toString()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    seen, over = {}, threading.Event()
+
+    def look():
+        while not over.wait(0.05):
+            for f in (f for d in folders for f in d.rglob("shuffle_*.data")):
+                with contextlib.suppress(FileNotFoundError):
+                    seen[f] = max(seen.get(f, 0), f.stat().st_size)
+
+    v = np.random.default_rng(4).standard_normal((20_000, 64)).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(v), "label": np.arange(20_000) % 2}), "vec_id long, embedding array<float>, label int")
+    before = {f for d in folders for f in d.rglob("shuffle_*.data")}
+    looks = threading.Thread(target=look)
+    looks.start()
+    try:
+        assert all(r.n_links == 0 for r in vectors.near_vectors(frame).collect())
+    finally:
+        over.set()
+        looks.join()
+    assert v.nbytes / 2 < sum(size for f, size in seen.items() if f not in before) < 4 * v.nbytes
+
+
 def test_languages_and_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     docs = table(spark, folder, "documents")
