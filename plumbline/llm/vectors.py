@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, stored
+from .common import components, releasing, stored
 
 #: Dimensions of a block.
 BLOCK_DIMS = 8
@@ -21,11 +22,12 @@ BROADCAST_LABELS = 100_000
 #: Keys of pairs to check again that may be broadcast.
 BROADCAST_KEYS = 100_000
 #: Rows of a box, visitors that look for their boxes at once, and dimensions compared first where all meet all.
-BOX, VISITORS, FIRST_DIMS = 100, 16384, 24
+BOX, VISITORS, FIRST_DIMS = 50, 32768, 24
 #: About how many ns it takes to compare a visitor with a box, with a vector in a box, and with a vector where all meet all.
 NS_BOX, NS_IN_BOX, NS_ALL = 0.7, 0.6, 0.5
 
 
+@functools.lru_cache(4)
 def rotation(dims: int) -> np.ndarray:
     """A fixed random rotation, which spreads a distance evenly over all blocks."""
     q, r = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))
@@ -74,7 +76,7 @@ def vector_keys(embeddings: DataFrame, content: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "vec_id long, label string, key binary" + (f", {content} binary" if content else "")
-    return embeddings.select("vec_id", "embedding", "label").mapInArrow(keys, schema)
+    return embeddings.select("vec_id", "embedding", "label").mapInArrow(releasing(keys), schema)
 
 
 def coded(v: np.ndarray) -> np.ndarray:
@@ -118,12 +120,12 @@ def packed(classes: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["label", "dims", "c", "part", "nodes", "mults", "keys", "codes"])
 
-    return classes.mapInArrow(pack, "label string, dims int, c int, part int, nodes binary, mults binary, keys binary, codes binary")
+    return classes.mapInArrow(releasing(pack), "label string, dims int, c int, part int, nodes binary, mults binary, keys binary, codes binary")
 
 
 class Grid:
     """Boxes of vectors between quantiles of each component, about ``BOX`` vectors in one: rows ``first[b]`` to
-    ``first[b + 1]`` of ``order`` lie in box b."""
+    ``first[b + 1]`` of ``order`` lie in box b. Boxes ``shelf[q]`` to ``shelf[q + 1]`` agree in the first half of the components."""
 
     def __init__(self, v: np.ndarray):
         parts, sides, number = [1] * v.shape[1], [], np.zeros(len(v), np.int64)
@@ -140,6 +142,9 @@ class Grid:
         number, first = np.unique(number[self.order], return_index=True)
         self.first, self.sides = np.append(first, len(v)), sides
         self.held = np.concatenate([np.eye(n, dtype=np.float32)[i] for n, i in zip(parts, np.unravel_index(number, parts))], 1)
+        half = len(parts) // 2
+        self.outer = sum(parts[:half])  # rows of ``gaps`` that all boxes of a shelf share
+        self.shelf = np.append(np.unique(number // int(np.prod(parts[half:])), return_index=True)[1], len(number))
 
     def gaps(self, v: np.ndarray) -> np.ndarray:
         """Squared distances from the sides of every component; ``held @ gaps`` are those from the boxes."""
@@ -151,9 +156,16 @@ class Room:
 
     def __init__(self):
         self.far, self.near = np.empty(1 << 18, np.float32), np.zeros(1 << 18, bool)
+        self.taken = {}
+
+    def rows(self, place: int, v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Rows ``own`` of ``v``, in memory that is written again with the next call for ``place``."""
+        if place not in self.taken or len(self.taken[place]) < VISITORS * v.shape[1]:
+            self.taken[place] = np.empty(VISITORS * v.shape[1], np.float32)
+        return v.take(own, 0, out=self.taken[place][: len(own) * v.shape[1]].reshape(len(own), v.shape[1]), mode="clip")
 
     def meet(self, guests: np.ndarray, homes: np.ndarray, budget: float):
-        """Pairs of rows at a squared distance of at most ``budget``; rows are ``sided``."""
+        """Pairs of rows at a squared distance of at most ``budget``; rows are ``as_guests`` and ``as_homes``."""
         for b in range(0, len(homes), 1024):
             h = homes[b : b + 1024].T
             width = h.shape[1]
@@ -161,9 +173,10 @@ class Room:
             for a in range(0, len(guests), step):
                 g = guests[a : a + step]
                 size = len(g) * width
-                np.less_equal(np.matmul(g, h, out=self.far[:size].reshape(-1, width)).ravel(), budget, out=self.near[:size])
-                i = self.places(size)
-                if len(i):
+                far = np.matmul(g, h, out=self.far[:size].reshape(len(g), width)).ravel()
+                if size and far.min() <= budget:
+                    np.less_equal(far, budget, out=self.near[:size])
+                    i = self.places(size)
                     yield a + i // width, b + i % width
 
     def places(self, size: int) -> np.ndarray:
@@ -177,10 +190,13 @@ class Room:
         return words[i] * 8 + j
 
 
-def sided(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What rows hold as guests and as homes, so that the product of both is a squared distance."""
-    square, one = (v * v).sum(1, keepdims=True), np.ones((len(v), 1), np.float32)
-    return np.concatenate([v, square, one], 1), np.concatenate([-2 * v, one, square], 1)
+def as_guests(v: np.ndarray) -> np.ndarray:
+    """Rows whose products with ``as_homes`` are squared distances."""
+    return np.concatenate([v, (v * v).sum(1, keepdims=True), np.ones((len(v), 1), np.float32)], 1)
+
+
+def as_homes(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([-2 * v, np.ones((len(v), 1), np.float32), (v * v).sum(1, keepdims=True)], 1)
 
 
 def floats(codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -199,7 +215,6 @@ def near_pairs(home: np.ndarray, guest: np.ndarray, same: bool, reach: float):
     share = lambda *of: float(reach**2 * sum(s.stop - s.start for s in of) / dims + 1e-5)
     columns = lambda *of: np.concatenate([np.arange(s.start, s.stop) for s in of])
     room = Room()
-    taken = np.empty((VISITORS, 0), np.float32)
     for k, own in enumerate(parts if len(parts) > 1 else ()):
         after = parts[(k + 1) % len(parts)]
         h = floats(home, columns(own, after))
@@ -210,33 +225,46 @@ def near_pairs(home: np.ndarray, guest: np.ndarray, same: bool, reach: float):
             reached = ((grid.held @ grid.gaps(asked) <= share(own)) * np.diff(grid.first)[:, None]).sum(0).mean()
             if len(parts) * (NS_BOX * len(grid.held) + NS_IN_BOX * reached) > NS_ALL * len(home):
                 break
-        homes = sided(h[grid.order])[1]
+        h = h[grid.order]
+        homes = as_homes(h)
+        del h
         place = grid.order if same else np.arange(len(guest))
         for a in range(0, len(guest), VISITORS):
             g = floats(guest[place[a : a + VISITORS]], columns(own, after))
-            gaps, guests = grid.gaps(g[:, :width]), sided(g)[0]
-            if taken.shape[1] != guests.shape[1]:
-                taken = np.empty((VISITORS, guests.shape[1]), np.float32)
-            last = int(np.searchsorted(grid.first[:-1], a + len(g))) if same else len(grid.held)
-            for b in range(0, last, 32):
-                reached = grid.held[b : b + 32] @ gaps <= share(own)
-                for box in range(b, min(b + 32, last)):
-                    low, high = grid.first[box], grid.first[box + 1]
-                    own_guests = np.flatnonzero(reached[box - b])
-                    if same and low > a:
-                        own_guests = own_guests[np.searchsorted(own_guests, low - a) :]
-                    for i, j in room.meet(guests.take(own_guests, 0, out=taken[: len(own_guests)], mode="clip"), homes[low:high], share(own, after)):
-                        i, j = a + own_guests[i], low + j
-                        if same:
-                            i, j = i[i > j], j[i > j]
-                        yield k, place[i], grid.order[j]
+            gaps, guests = grid.gaps(g[:, :width]), as_guests(g)
+            # guests that reach a shelf go on to its boxes
+            outside = grid.held[grid.shelf[:-1], : grid.outer] @ gaps[: grid.outer]
+            inner = np.ascontiguousarray(gaps[grid.outer :].T)
+            for shelf, far in enumerate(outside):
+                box, end = grid.shelf[shelf], grid.shelf[shelf + 1]
+                here = np.flatnonzero(far <= share(own))
+                if same:
+                    end = min(end, int(np.searchsorted(grid.first[:-1], a + len(g))))
+                    here = here[np.searchsorted(here, grid.first[box] - a) :]
+                if not len(here) or box >= end:
+                    continue
+                own_guests = room.rows(0, guests, here)
+                left = np.concatenate([room.rows(1, inner, here), far[here, None]], 1).T
+                sides = np.concatenate([grid.held[box:end, grid.outer :], np.ones((end - box, 1), np.float32)], 1)
+                for b in range(0, end - box, 16):
+                    reached = sides[b : b + 16] @ left <= share(own)
+                    for n, low in enumerate(grid.first[box + b : min(box + b + 16, end)]):
+                        mine = np.flatnonzero(reached[n])
+                        if same and low > a:
+                            mine = mine[np.searchsorted(here, low - a) <= mine]
+                        high = grid.first[box + b + n + 1]
+                        for i, j in room.meet(room.rows(2, own_guests, mine), homes[low:high], share(own, after)):
+                            i, j = a + here[mine[i]], low + j
+                            if same:
+                                i, j = i[i > j], j[i > j]
+                            yield k, place[i], grid.order[j]
     else:
         if len(parts) > 1:
             return
     first = np.arange(min(dims, FIRST_DIMS))
-    homes = sided(floats(home, first))[1]
+    homes = as_homes(floats(home, first))
     for a in range(0, len(guest), 1024):
-        guests = sided(floats(guest[a : a + 1024], first))[0]
+        guests = as_guests(floats(guest[a : a + 1024], first))
         for i, j in room.meet(guests, homes[: a + 1024] if same else homes, share(slice(0, dims))):
             i = a + i
             yield -1, *((i[i > j], j[i > j]) if same else (i, j))
@@ -250,10 +278,15 @@ def compared(home: np.ndarray, guest: np.ndarray, same: bool, limit: float):
     starts = [s.start for s in parts]
     share = (root + error) ** 2 * np.array([s.stop - s.start for s in parts]) / dims * (1 + 1e-12) + 1e-12
     both = share + np.roll(share, -1) if len(parts) > 1 else share
+    lead = parts[:2][-1].stop
 
     def checked(k, i, j):
         for a in range(0, len(i), 1 << 14):
             x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            if k > 0:  # most close pairs start at the first block
+                square = np.add.reduceat((guest[:, :lead][x].astype(np.float64) - home[:, :lead][y]) ** 2, starts[:2], axis=1)
+                ok = (square[:, 0] / SCALE**2 > share[0]) | ((square[:, 0] + square[:, 1]) / SCALE**2 > both[0])
+                x, y = x[ok], y[ok]
             square = np.add.reduceat((guest[x].astype(np.float64) - home[y]) ** 2, starts, axis=1)
             if k >= 0:
                 two = (square + np.roll(square, -1, 1) if len(parts) > 1 else square) / SCALE**2
@@ -287,21 +320,28 @@ def join_tiles(pages: DataFrame, groups: int, cosine: float) -> DataFrame:
         parts = []
         for part in dict.fromkeys((i, j)):
             own = [p for p in pages if p[0] == part]
-            nodes, mults, keys, codes = (b"".join(p[c] for p in own) for c in (1, 2, 3, 4))
-            parts.append((np.frombuffer(nodes, np.int64), np.frombuffer(mults, np.int64), np.frombuffer(keys, "V16"), np.frombuffer(codes, np.int16).reshape(-1, dims)))
+            codes, at = np.empty((sum(len(p[1]) for p in own) // 8, dims), np.int16), 0
+            for p in own:  # a page's codes go as soon as they are copied
+                page = np.frombuffer(p.pop(), np.int16).reshape(-1, dims)
+                codes[at : at + len(page)] = page
+                at += len(page)
+            nodes, mults, keys = (b"".join(p[c] for p in own) for c in (1, 2, 3))
+            parts.append((np.frombuffer(nodes, np.int64), np.frombuffer(mults, np.int64), np.frombuffer(keys, "V16"), codes))
+        own = page = None
         pages.clear()
-        guest, home = parts[0], parts[-1]
-        if not len(guest[0]) or not len(home[0]):
+        guest, home = parts[0][3], parts[-1][3]
+        if not len(guest) or not len(home):
             return
-        shift = 0 if i == j else len(guest[0])
+        shift = 0 if i == j else len(guest)
         node, mult, key = (np.concatenate([p[c] for p in parts]) for c in (0, 1, 2))
+        parts.clear()
         links, label, doubts = np.zeros(len(node), np.int64), np.arange(len(node)), []
         one, two, n = [], [], 0
 
         def joined():
             return local_labels(label[np.concatenate(one)], label[np.concatenate(two)], len(node))[label] if one else label
 
-        for x, y, sure in compared(home[3], guest[3], i == j, limit):
+        for x, y, sure in compared(home, guest, i == j, limit):
             y = y + shift
             ok = node[x] != node[y]
             x, y, sure = x[ok], y[ok], sure[ok]
@@ -336,19 +376,21 @@ def join_tiles(pages: DataFrame, groups: int, cosine: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 10_000]) for x in numbers), *names], names=["node", "links", "low", "key", "other"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "dims", "i", "j", "part", "nodes", "mults", "keys", "codes"))):
-                if row[:4] != now:
+            for n in range(batch.num_rows):
+                of, page = ([batch.column(c)[n].as_py() for c in names] for names in (tiles, ("part", "nodes", "mults", "keys", "codes")))
+                if of != now:
                     if now:
                         yield from found()
-                    now, pages = row[:4], []
-                pages.append(row[4:])
+                    now, pages = of, []
+                pages.append(page)
+            del batch, page
         if now:
             yield from found()
 
     tiles = ["label", "dims", "i", "j"]
     each = pages.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k")).drop("c", "k")
     count = max(1, min(8 * groups, 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return each.repartition(count, *tiles).sortWithinPartitions(*tiles).mapInArrow(join, "node long, links long, low long, key binary, other binary")
+    return each.repartition(count, *tiles).sortWithinPartitions(*tiles).mapInArrow(releasing(join), "node long, links long, low long, key binary, other binary")
 
 
 def checked_pairs(doubts: DataFrame, embeddings: DataFrame, cosine: float) -> DataFrame:
